@@ -45,8 +45,8 @@ def known_at(events: DataFrame, event_day: str, intervals: DataFrame, entity: li
     closed = intervals.filter("until is not null").select(*entity, F.col("value_date").alias("_closed"), "since", "until")
     closed = closed.withColumn("_bucket", F.explode(F.sequence(F.expr(f"since div {bucket_days}"), F.expr(f"(until - 1) div {bucket_days}"))))
     last = intervals.filter("until is null").select(*entity, F.col("value_date").alias("_last"), F.col("since").alias("_since"))
-    if few:
-        closed, last = F.broadcast(closed), F.broadcast(last)
+    # Stored intervals are far smaller than in memory, so their size must not make them broadcast unasked.
+    closed, last = (F.broadcast(closed), F.broadcast(last)) if few else (closed.hint("merge"), last.hint("merge"))
     e = events.withColumn("_bucket", F.expr(f"{event_day} div {bucket_days}")).alias("e")
     c = closed.alias("c")
     on = (F.col("e._bucket") == F.col("c._bucket")) & (F.col(f"e.{event_day}") >= F.col("c.since")) & (F.col(f"e.{event_day}") < F.col("c.until"))
