@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import store
+
 OPEN_DAY = 2932896  # 9999-12-31 in days since 1970
 OPEN_TS = "9999-12-31 00:00:00"
 
@@ -85,6 +87,7 @@ def bitemporal_ledger(present: DataFrame, absent: DataFrame | None, keys: list[s
     chain = chain.filter(F.col("_b").isNull() | (~F.col("_b").eqNullSafe(F.col("_v")) & F.col("_v.present"))).drop("_b")
     chain = chain.withColumn("_until", F.coalesce(F.lead("recorded").over(w), F.lit(OPEN_TS).cast("timestamp")))
     chain = chain.withColumn("_first", F.min("recorded").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    chain = store(chain, "assertions").df
 
     firsts = chain.groupBy(*cell).agg(F.min("_first").alias("_first"))
     arr = firsts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.unix_date("_valid").alias("d"), F.unix_micros(F.col("_first").cast("timestamp")).alias("a")))).alias("_s"))
