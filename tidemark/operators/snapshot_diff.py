@@ -33,7 +33,7 @@ def merkle_levels(rows: DataFrame, snap: str, depth: int, fanout: int = FANOUT)
     A leaf combines its rows with xor, which needs no order and merges before the shuffle, beside their number.
     """
     leaves = rows.groupBy(snap, F.col("leaf").alias("node")).agg(F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"), F.count("*").alias("n"))
-    level = leaves.select(snap, "node", F.xxhash64("x1", "x2", "n").alias("digest"))
+    level = store(leaves.select(snap, "node", F.xxhash64("x1", "x2", "n").alias("digest")), "leaf-digests").df
     levels = [level]
     for _ in range(depth):
         up = level.withColumn("up", F.expr(f"node div {fanout}"))
