@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import at_offset, col, enough, pct_rank, trailing
+from ..functions.exprs import at_offset, col, enough, many_pct_ranks, trailing
 from ..runtime import latest
 
 WINDOWS = (1, 30, 90)
@@ -143,14 +143,15 @@ def momentum_panel(prices: DataFrame, benchmark: str, sector: Column, hold: int
     f = f.join(F.broadcast(bench), "cal_idx", "left").withColumn("target", F.col("raw_target") - F.col("beta_252") * F.col("_bt")).drop("_bt")
     f = f.filter((F.col("ticker") != benchmark) & F.col("target").isNotNull() & F.col("mom_12_1").isNotNull()).withColumn("sector", sector)
     ranked = [*BASE, "mom_12_1_va", "mom_6_1_va", "idio_mom_va", "rev_5d_va", "turn_trend", "log_adv"]
-    return f.select("*", *[pct_rank(c, "date", "sector").alias(f"{c}_sn") for c in ranked])
+    long = many_pct_ranks(f, ranked, ["date", "sector"])
+    wide = long.groupBy("_row.date", "_row.ticker").agg(F.first("_row").alias("_row"), *[F.max(F.when(F.col("_name") == c, F.col("_p"))).alias(f"{c}_sn") for c in ranked])
+    return wide.select("_row.*", *[f"{c}_sn" for c in ranked])
 
 
 def composite(panel: DataFrame, signs: dict[str, int] = SIGNS) -> DataFrame:
     """``composite``: the mean of signed percent ranks by date over the signed columns and their sector ranks."""
     use = {c + s: v for c, v in signs.items() for s in ("", "_sn") if c + s in panel.columns}
-    total = None
-    for c, v in use.items():
-        term = F.lit(float(v)) * pct_rank(c, "date")
-        total = term if total is None else total + term
-    return panel.withColumn("composite", total / len(use))
+    sign = F.create_map(*[F.lit(x) for c, v in use.items() for x in (c, float(v))])
+    long = many_pct_ranks(panel, list(use), ["date"])
+    total = F.when(F.count("_p") == len(use), F.sum(sign[F.col("_name")] * F.col("_p")) / len(use))
+    return long.groupBy("_row.date", "_row.ticker").agg(F.first("_row").alias("_row"), total.alias("composite")).select("_row.*", "composite")
