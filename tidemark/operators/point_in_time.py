@@ -4,6 +4,7 @@ A value dated ``d`` and loaded at ``l`` is known from the midnight after both. W
 function of time; each step is an interval from one change to the next, closed at its start and open at its end.
 Intervals that end are cut into time buckets and events meet them in an equi-join on entity and bucket; the last,
 unending interval of an entity is met on the entity alone, one row each, so nothing is spread to a far horizon.
+A column of the events that has an output's name is replaced.
 
 Defined results: an event before the first known value gets NULL. Values with a NULL date, NULL load time (where load
 times count) or no value never become known. Repeated events are one event; an event with a NULL entity gets NULLs.
@@ -47,7 +48,7 @@ def known_at(events: DataFrame, event_day: str, intervals: DataFrame, entity: li
     last = intervals.filter("until is null").select(*entity, F.col("value_date").alias("_last"), F.col("since").alias("_since"))
     # Stored intervals are far smaller than in memory, so their size must not make them broadcast unasked.
     closed, last = (F.broadcast(closed), F.broadcast(last)) if few else (closed.hint("merge"), last.hint("merge"))
-    e = events.withColumn("_bucket", F.expr(f"{event_day} div {bucket_days}")).alias("e")
+    e = events.drop(out).withColumn("_bucket", F.expr(f"{event_day} div {bucket_days}")).alias("e")
     c = closed.alias("c")
     on = (F.col("e._bucket") == F.col("c._bucket")) & (F.col(f"e.{event_day}") >= F.col("c.since")) & (F.col(f"e.{event_day}") < F.col("c.until"))
     for k in entity:

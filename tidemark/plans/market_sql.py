@@ -6,7 +6,7 @@ def num(c: str, digits: int = 4) -> str:
 
 
 def r6(e: str, name: str | None = None) -> str:
-    return f"round({e}, 6) + 0.0 AS {name or e}"
+    return f"round({e} + 1e-10, 6) + 0.0 AS {name or e}"
 
 
 def iso(c: str, name: str | None = None) -> str:
@@ -127,11 +127,11 @@ SELECT ticker, quarter, year, {iso("pub_date")}, eps_surprise_pct FROM j""",
 j AS (SELECT ev.ticker, earnings_date, v.vol FROM ev LEFT JOIN v ON v.ticker = ev.ticker AND v.date <= earnings_date AND date_diff('day', v.date, earnings_date) <= 10 AND vol IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY ev.ticker, earnings_date ORDER BY v.date DESC) = 1)
 SELECT ticker, {iso("earnings_date")}, {r6("vol")} FROM j""",
-    "expanding_surprise_z": f"WITH {EV} SELECT ticker, {iso('earnings_date')}, round(CASE WHEN {past('count', 'eps_surprise_pct')} >= 3 AND {past('stddev_samp', 'eps_surprise_pct')} >= 1e-12 THEN (eps_surprise_pct - {past('avg', 'eps_surprise_pct')}) / {past('stddev_samp', 'eps_surprise_pct')} END, 6) + 0.0 AS eps_surprise_pct_z FROM ev",
+    "expanding_surprise_z": f"WITH {EV} SELECT ticker, {iso('earnings_date')}, round(CASE WHEN {past('count', 'eps_surprise_pct')} >= 3 AND {past('stddev_samp', 'eps_surprise_pct')} >= 1e-12 THEN (eps_surprise_pct - {past('avg', 'eps_surprise_pct')}) / {past('stddev_samp', 'eps_surprise_pct')} END + 1e-10, 6) + 0.0 AS eps_surprise_pct_z FROM ev",
     "qoq_delta": f"WITH {EV} SELECT ticker, {iso('earnings_date')}, {', '.join(r6(f'{c} - lag({c}) OVER (PARTITION BY ticker ORDER BY earnings_date)', f'{c}_qoq') for c in ('eps_surprise_pct', 'reported_eps'))} FROM ev",
     "past_target_stats": f"WITH {RETURNS} SELECT ticker, {iso('earnings_date')}, {', '.join(r6(f'CASE WHEN {past("count", "abnormal_30d")} >= 2 THEN {past(fn, "abnormal_30d")} END', f'abnormal_30d_past_{n}') for fn, n in (('avg', 'mean'), ('stddev_samp', 'std')))} FROM ret",
     "sue": f"""WITH {EV}, q AS (SELECT ticker, earnings_date, eps_surprise_pct / nullif(CASE WHEN {past("count", "eps_surprise_pct")} >= 2 THEN {past("stddev_samp", "eps_surprise_pct")} END, 0) AS q FROM ev)
-SELECT ticker, {iso("earnings_date")}, round(CASE WHEN q IS NULL THEN 0 ELSE greatest(-10, least(10, q)) END, 6) + 0.0 AS sue FROM q""",
+SELECT ticker, {iso("earnings_date")}, round(CASE WHEN q IS NULL THEN 0 ELSE greatest(-10, least(10, q)) END + 1e-10, 6) + 0.0 AS sue FROM q""",
     "surprise_streak": f"""WITH {EV}, s AS (SELECT *, sign(coalesce(eps_surprise_pct, 0))::INT AS s FROM ev),
 n AS (SELECT *, CASE WHEN s = 0 OR lag(s) OVER w IS DISTINCT FROM s THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY ticker ORDER BY earnings_date)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY ticker ORDER BY earnings_date) AS isle FROM n),

@@ -104,13 +104,13 @@ SELECT {iso("date")}, ticker, {r6("momentum_z")}, {r6("eca_z")}, regime, {r6(z("
     "size_deciles": f"""WITH {BOOK}, d0 AS (SELECT *, CASE WHEN ok0 THEN score END AS s FROM book), d1 AS (SELECT *, {pct("s", "date")} AS p, count(s) OVER (PARTITION BY date) AS n FROM d0),
 d2 AS (SELECT *, CASE WHEN n < 10 THEN 0 WHEN p >= 1 - 0.1 THEN 1 WHEN p <= 0.1 THEN -1 ELSE 0 END AS side FROM d1), d3 AS (SELECT *, CASE WHEN side <> 0 THEN 1 / vol END AS inv FROM d2),
 d4 AS (SELECT *, side * inv / sum(inv) OVER (PARTITION BY date, side) AS w FROM d3)
-SELECT {iso("date")}, ticker, round(CASE WHEN w IS NULL THEN 0 ELSE greatest(-0.03, least(0.03, w)) END, 6) + 0.0 AS weight FROM d4""",
+SELECT {iso("date")}, ticker, round(CASE WHEN w IS NULL THEN 0 ELSE greatest(-0.03, least(0.03, w)) END + 1e-10, 6) + 0.0 AS weight FROM d4""",
     "book_stats": f"WITH {SIZED} SELECT {iso('date')}, sum((weight <> 0)::INT)::BIGINT AS n, {r6('sum(abs(weight))', 'gross')}, {r6('sum(weight)', 'net')}, {r6('max(abs(weight))', 'max_abs')}, {r6('sum(abs(weight)) * sum(abs(weight)) / nullif(sum(weight * weight), 0)', 'effective_n')} FROM sized GROUP BY date",
     "backtest_trades": f"WITH {PNL} SELECT ticker, quarter, year, {iso('month')}, side, {r6('weight')}, {r6('gross')}, {r6('net')} FROM tr",
     "event_pnl": f"WITH {PNL} SELECT {iso('month')}, n, {r6('gross')}, {r6('net')} FROM pnl",
     "portfolio_metrics": f"WITH {PNL}, two AS (SELECT month, 'gross' AS series, gross AS r FROM pnl UNION ALL SELECT month, 'net', net FROM pnl), {metrics('two', 'series', 'r')} SELECT series, n, {', '.join(r6(c) for c in ('total', 'cagr', 'sharpe', 'max_drawdown', 'win_rate', 'avg'))} FROM met",
     "drawdown": f"WITH {PNL}, e AS (SELECT month, product(1 + net) OVER (ORDER BY month) AS equity FROM pnl), k AS (SELECT *, max(equity) OVER (ORDER BY month) AS peak FROM e) SELECT {iso('month')}, {r6('equity')}, {r6('(equity - peak) / nullif(peak, 0)', 'drawdown')} FROM k",
-    "rolling_sharpe": f"WITH {PNL} SELECT {iso('month')}, round(CASE WHEN count(net) OVER w >= 6 THEN CASE WHEN stddev_samp(net) OVER w > 0 THEN avg(net) OVER w / stddev_samp(net) OVER w * sqrt(12) ELSE 0 END END, 6) + 0.0 AS rolling_sharpe FROM pnl WINDOW w AS (ORDER BY month ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)",
+    "rolling_sharpe": f"WITH {PNL} SELECT {iso('month')}, round(CASE WHEN count(net) OVER w >= 6 THEN CASE WHEN stddev_samp(net) OVER w > 0 THEN avg(net) OVER w / stddev_samp(net) OVER w * sqrt(12) ELSE 0 END END + 1e-10, 6) + 0.0 AS rolling_sharpe FROM pnl WINDOW w AS (ORDER BY month ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)",
     "cutoff_sensitivity": f"""WITH {PRED}, pc AS (SELECT pred.*, cutoff FROM pred JOIN (SELECT unnest([0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50])::DOUBLE AS cutoff) ON true), {trades("month, cutoff", "cutoff", "pc")},
 mc AS (SELECT cutoff, month, sum(net) AS net FROM tr GROUP BY ALL), {metrics("mc", "cutoff", "net")} SELECT cutoff, n, {r6("total")}, {r6("sharpe")}, {r6("max_drawdown")} FROM met""",
     "leg_decomposition": f"WITH {PNL} SELECT side, count(*) AS n, {r6('avg(actual)', 'mean_return')}, {r6('avg((gross > 0)::INT)', 'hit_rate')} FROM tr GROUP BY 1",
