@@ -192,6 +192,8 @@ def matched_windows(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
             lex, wanted = shared.value
             for df in batches:
                 hits = template_windows(df["text"].tolist(), lex, wanted, width)
+                if not hits:
+                    continue
                 d = df["doc_id"].to_numpy()
                 yield pd.DataFrame({"doc_id": [d[i] for i, *_ in hits], "pos": [s for _, s, _, _ in hits], "h": [h for _, _, h, _ in hits], "words": [w for *_, w in hits]})
 

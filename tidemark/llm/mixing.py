@@ -84,7 +84,7 @@ def mix(sizes: DataFrame, plan: Stored, doc_id: str, seed: int = 0, chunks: int
     Within a chunk documents go by size, so that the systematic sample takes all sizes evenly.
     """
     p = plan.df.select("source", "copies")
-    rows = sizes.filter("n_tokens > 0").join(F.broadcast(p) if plan.small() else p, "source")
+    rows = sizes.select(doc_id, "source", "n_tokens").filter("n_tokens > 0").join(F.broadcast(p) if plan.small() else p, "source")
     rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(chunks)))
     number = F.row_number().over(W.partitionBy("source", "_chunk").orderBy("n_tokens", doc_id))
     count = rows.groupBy("source", "_chunk").agg(F.count("*").alias("_n"))
@@ -99,9 +99,9 @@ def mix(sizes: DataFrame, plan: Stored, doc_id: str, seed: int = 0, chunks: int
     return emitted.select(doc_id, "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy_no"))
 
 
-def mix_report(mixed: DataFrame, plan: Stored) -> DataFrame:
+def mix_report(mixed: DataFrame, plan: Stored, doc_id: str) -> DataFrame:
     """Per source of the plan: what was asked for and what was reached."""
-    got = mixed.groupBy("source").agg(F.count("*").alias("copies_used"), F.countDistinct("doc_id").alias("docs_used"), F.sum("n_tokens").alias("tokens_used"), F.max("copy_no").alias("most_repeats"))
+    got = mixed.groupBy("source").agg(F.count("*").alias("copies_used"), F.countDistinct(doc_id).alias("docs_used"), F.sum("n_tokens").alias("tokens_used"), F.max("copy_no").alias("most_repeats"))
     zero = {c: 0 for c in ("copies_used", "docs_used", "tokens_used", "most_repeats")}
     both = plan.df.join(got, "source", "left").fillna(zero)
     return both.withColumn("actual_share", F.try_divide("tokens_used", F.sum("tokens_used").over(W.partitionBy())))

@@ -5,7 +5,8 @@ tolerance beyond either edge, so a query needs no other shard. Each shard's sort
 a day's position to within EPSILON; the exact neighbours are then looked up in the few places around the prediction.
 
 Defined results: repeated days count once. A query with a NULL entity or day, or with nothing within the tolerance,
-has no match. Of two equally near days the earlier one is taken. Empty tables give no matches.
+has no match. Of two equally near days the earlier one is taken. Empty tables give no matches. A column of the queries that has the
+output's name is replaced; others may have any name.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def _fit(days: pd.Series) -> pd.DataFrame:
 
 
 def time_index(records: DataFrame, entity: str, day: str, tolerance: int, shard_days: int = SHARD_DAYS) -> DataFrame:
-    """One row per entity and shard: sorted ``days`` and their segments ``x``, ``slope``, ``pos``.
+    """One row per entity and shard: ``_ix`` with sorted ``days`` and their segments, ``seg.x``, ``seg.slope``, ``seg.pos``.
 
     Days are made distinct before they are collected, so a shard has at most ``shard_days + 2 * tolerance`` of them.
     """
@@ -51,7 +52,7 @@ def time_index(records: DataFrame, entity: str, day: str, tolerance: int, shard_
     rows = rows.select("_e", "d", F.explode(F.sequence(shard(F.col("d") - tolerance), shard(F.col("d") + tolerance))).alias("_shard"))
     index = rows.groupBy("_e", "_shard").agg(F.sort_array(F.collect_list("d")).alias("days"))
     fit = F.pandas_udf(_fit, "x array<int>, slope array<double>, pos array<int>")
-    return index.select("_e", "_shard", "days", fit("days").alias("seg")).select("_e", "_shard", "days", "seg.*")
+    return index.select("_e", "_shard", F.struct("days", fit("days").alias("seg")).alias("_ix"))
 
 
 def _neighbour(day: Column, epsilon: int) -> Column:
@@ -60,14 +61,15 @@ def _neighbour(day: Column, epsilon: int) -> Column:
     A day between two records lies between their positions, and before the next segment's first; one place more on
     either side covers the rounding.
     """
-    k = F.size(F.filter("x", lambda s: s <= day))
+    days, x, slope, pos = (F.col(f"_ix.{c}") for c in ("days", "seg.x", "seg.slope", "seg.pos"))
+    k = F.size(F.filter(x, lambda s: s <= day))
     at = F.greatest(k, F.lit(1))
-    guess = F.element_at("pos", at) + F.element_at("slope", at) * (day - F.element_at("x", at))
-    upper = F.when(k < F.size("x"), F.try_element_at("pos", at + 1)).otherwise(F.size("days"))
-    guess = F.greatest(F.element_at("pos", at), F.least(F.round(guess), upper)).cast("int")
+    guess = F.element_at(pos, at) + F.element_at(slope, at) * (day - F.element_at(x, at))
+    upper = F.when(k < F.size(x), F.try_element_at(pos, at + 1)).otherwise(F.size(days))
+    guess = F.greatest(F.element_at(pos, at), F.least(F.round(guess), upper)).cast("int")
     first = F.greatest(guess - epsilon - 1, F.lit(0))
-    near = F.slice("days", first + 1, F.lit(2 * epsilon + 4))
-    return F.array_min(F.transform(near, lambda x: F.struct(F.abs(x - day).alias("gap"), x.alias("d"))))["d"]
+    near = F.slice(days, first + 1, F.lit(2 * epsilon + 4))
+    return F.array_min(F.transform(near, lambda d: F.struct(F.abs(d - day).alias("gap"), d.alias("d"))))["d"]
 
 
 def nearest(queries: DataFrame, q_entity: str, q_day: str, records: DataFrame, r_entity: str, r_day: str, tolerance: int, out: str, shard_days: int = SHARD_DAYS, epsilon: int = EPSILON) -> DataFrame:
@@ -77,8 +79,8 @@ def nearest(queries: DataFrame, q_entity: str, q_day: str, records: DataFrame, r
     """
     index = time_index(records, r_entity, r_day, tolerance, shard_days)
     d = F.unix_date(q_day)
-    q = queries.withColumn("_qd", d).withColumn("_qs", F.floor(d / shard_days).cast("int"))
+    q = queries.drop(out).withColumn("_qd", d).withColumn("_qs", F.floor(d / shard_days).cast("int"))
     j = q.join(index, (q[q_entity] == index["_e"]) & (q["_qs"] == index["_shard"]), "left")
-    j = j.withColumn("_hit", F.when(F.size("days") > 0, _neighbour(F.col("_qd"), epsilon)))
+    j = j.withColumn("_hit", F.when(F.size("_ix.days") > 0, _neighbour(F.col("_qd"), epsilon)))
     hit = F.when(F.abs(F.col("_hit") - F.col("_qd")) <= tolerance, F.date_from_unix_date("_hit"))
-    return j.withColumn(out, hit).drop("_e", "_shard", "days", "x", "slope", "pos", "_qd", "_qs", "_hit")
+    return j.withColumn(out, hit).drop("_e", "_shard", "_ix", "_qd", "_qs", "_hit")

@@ -128,7 +128,7 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = _sizes(spark, sf_dir)
     plan = _plan(spark, sf_dir, sizes)
-    return mix_report(mix(sizes, plan, "doc_id"), plan)
+    return mix_report(mix(sizes, plan, "doc_id"), plan, "doc_id")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
