@@ -34,6 +34,30 @@ def enough(agg: Column, c: str | Column, w: WindowSpec, least: int) -> Column:
     return F.when(F.count(col(c)).over(w) >= least, agg.over(w))
 
 
+def _sums(e: Column, by: str, order: str, n: int, shift: int) -> Column:
+    """Sum over the last ``n`` calendar rows as the difference of two running sums, so the cost of a row does not grow
+    with ``n`` as it does for a sliding frame."""
+    upto = lambda k: F.coalesce(F.sum(e).over(W.partitionBy(by).orderBy(order).rangeBetween(W.unboundedPreceding, k)), F.lit(0.0))
+    return upto(-shift) - upto(-shift - n)
+
+
+def rolling_avg(c: str | Column, by: str, order: str, n: int, least: int, shift: int = 0) -> Column:
+    k = _sums(col(c).isNotNull().cast("double"), by, order, n, shift)
+    return F.when(k >= least, _sums(col(c), by, order, n, shift) / k)
+
+
+def rolling_std(c: str | Column, by: str, order: str, n: int, least: int, shift: int = 0) -> Column:
+    """Sample deviation; values should be of the size of returns, as sums of squares are subtracted."""
+    k = _sums(col(c).isNotNull().cast("double"), by, order, n, shift)
+    s, q = _sums(col(c), by, order, n, shift), _sums(col(c) * col(c), by, order, n, shift)
+    return F.when((k >= least) & (k >= 2), F.sqrt(F.greatest((q - s * s / k) / (k - 1), F.lit(0.0))))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def pct_rank(c: str | Column, *by: str | Column) -> Column:
     """Rank over number of values, ties averaged; NULL for NULL."""
     c = col(c)

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .exprs import bound
 
 _SPACE = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SPACE = f"[{_SPACE}]"
@@ -102,28 +103,40 @@ def tokens(c: Column) -> Column:
 
 def lexicon_counts(c: Column, positive: list[str] = P.POSITIVE, negative: list[str] = P.NEGATIVE, uncertain: list[str] = P.UNCERTAIN) -> Column:
     """Counts and ratios over positive + negative + 1."""
-    n = lambda lex: F.size(F.filter(tokens(c), lambda t: t.isin(lex)))
-    p, q = n(positive), n(negative)
-    return F.struct(p.alias("lm_positive"), q.alias("lm_negative"), n(uncertain).alias("lm_uncertainty"), ((p - q) / (p + q + 1)).alias("lm_net"), (p / (p + q + 1)).alias("lm_pos_ratio"), (q / (p + q + 1)).alias("lm_neg_ratio"))
+    n = lambda ts, lex: F.size(F.filter(ts, lambda t: t.isin(lex)))
+
+    def ratios(x: Column) -> Column:
+        p, q = x["p"], x["q"]
+        return F.struct(p.alias("lm_positive"), q.alias("lm_negative"), x["u"].alias("lm_uncertainty"), ((p - q) / (p + q + 1)).alias("lm_net"), (p / (p + q + 1)).alias("lm_pos_ratio"), (q / (p + q + 1)).alias("lm_neg_ratio"))
+
+    counts = bound(tokens(c), lambda ts: F.struct(n(ts, positive).alias("p"), n(ts, negative).alias("q"), n(ts, uncertain).alias("u")))
+    return bound(counts, ratios)
 
 
 def readability(c: Column) -> Column:
     """Five published scores from counts of words, sentences, syllables (vowel groups) and letters; 0 without words."""
-    t = tokens(c)
-    syl = F.transform(t, lambda w: F.greatest(F.lit(1), F.regexp_count(w, F.lit("[aeiouy]+"))))
-    n = F.size(t).cast("double")
-    s = F.greatest(F.lit(1), F.size(sentences(c))).cast("double")
-    y = F.aggregate(syl, F.lit(0), lambda a, x: a + x).cast("double")
-    hard = F.size(F.filter(syl, lambda x: x >= 3)).cast("double")
-    letters = F.aggregate(t, F.lit(0), lambda a, w: a + F.length(w)).cast("double")
-    ok = lambda e: F.when(n > 0, e).otherwise(0.0)
-    return F.struct(
-        ok(206.835 - 1.015 * n / s - 84.6 * y / n).alias("flesch_reading_ease"),
-        ok(0.39 * n / s + 11.8 * y / n - 15.59).alias("flesch_kincaid_grade"),
-        ok(0.4 * (n / s + 100 * hard / n)).alias("gunning_fog"),
-        ok(1.043 * F.sqrt(30 * hard / s) + 3.1291).alias("smog_index"),
-        ok(4.71 * letters / n + 0.5 * n / s - 21.43).alias("automated_readability"),
-    )
+    syllables = lambda w: F.greatest(F.lit(1), F.regexp_count(w, F.lit("[aeiouy]+")))
+    total = lambda arr, of: F.aggregate(arr, F.lit(0), lambda a, x: a + of(x)).cast("double")
+
+    def counts(t: Column) -> Column:
+        return F.struct(F.size(t).cast("double").alias("n"), total(t, F.length).alias("letters"), F.transform(t, syllables).alias("syl"))
+
+    def sums(x: Column) -> Column:
+        s = F.greatest(F.lit(1), F.size(sentences(c))).cast("double")
+        return F.struct(x["n"].alias("n"), s.alias("s"), total(x["syl"], lambda y: y).alias("y"), F.size(F.filter(x["syl"], lambda y: y >= 3)).cast("double").alias("hard"), x["letters"].alias("letters"))
+
+    def scores(x: Column) -> Column:
+        n, s, y, hard, letters = (x[k] for k in ("n", "s", "y", "hard", "letters"))
+        ok = lambda e: F.when(n > 0, e).otherwise(0.0)
+        return F.struct(
+            ok(206.835 - 1.015 * n / s - 84.6 * y / n).alias("flesch_reading_ease"),
+            ok(0.39 * n / s + 11.8 * y / n - 15.59).alias("flesch_kincaid_grade"),
+            ok(0.4 * (n / s + 100 * hard / n)).alias("gunning_fog"),
+            ok(1.043 * F.sqrt(30 * hard / s) + 3.1291).alias("smog_index"),
+            ok(4.71 * letters / n + 0.5 * n / s - 21.43).alias("automated_readability"),
+        )
+
+    return bound(bound(bound(tokens(c), counts), sums), scores)
 
 
 def hedges(c: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import at_offset, col, enough, many_pct_ranks, trailing
+from ..functions.exprs import at_offset, col, enough, many_pct_ranks, rolling_avg, rolling_std, trailing
 from ..runtime import latest
 
 WINDOWS = (1, 30, 90)
@@ -107,7 +107,7 @@ def momentum_features(panel: DataFrame, benchmark: str) -> DataFrame:
     m = m.withColumn("m_avg", enough(F.avg("m"), "m", wm, 126)).withColumn("m_var", enough(F.var_samp("m"), "m", wm, 126))
     x = x.join(F.broadcast(m.select("cal_idx", "m", "mom_m", "m_avg", "m_var")), "cal_idx", "left")  # one row per day
     x = x.withColumn("rm", F.col("r") * F.col("m"))
-    x = x.select("*", lagged(5).alias("rev_5d"), lagged(21).alias("rev_21d"), lagged(126).alias("r126"), lagged(252).alias("r252"), rolling("close", F.max("close"), 252, 200).alias("hi"), rolling("r", F.stddev_samp("r"), 60, 40).alias("vol_60d"), rolling("r", F.stddev_samp("r"), 20, 15).alias("vol_20d"), rolling("rm", F.avg("rm"), 252, 126).alias("rm_avg"), rolling("r", F.avg("r"), 252, 126).alias("r_avg"))
+    x = x.select("*", lagged(5).alias("rev_5d"), lagged(21).alias("rev_21d"), lagged(126).alias("r126"), lagged(252).alias("r252"), rolling("close", F.max("close"), 252, 200).alias("hi"), rolling_std("r", "ticker", "cal_idx", 60, 40).alias("vol_60d"), rolling_std("r", "ticker", "cal_idx", 20, 15).alias("vol_20d"), rolling_avg("rm", "ticker", "cal_idx", 252, 126).alias("rm_avg"), rolling_avg("r", "ticker", "cal_idx", 252, 126).alias("r_avg"))
     x = x.withColumn("mom_12_1", F.try_divide(1 + F.col("r252"), 1 + F.col("rev_21d")) - 1).withColumn("mom_6_1", F.try_divide(1 + F.col("r126"), 1 + F.col("rev_21d")) - 1)
     x = x.withColumn("dist_52wk", F.try_divide("close", "hi") - 1).withColumn("beta_252", F.try_divide(F.col("rm_avg") - F.col("r_avg") * F.col("m_avg"), F.col("m_var")))
     x = x.withColumn("idio_mom", F.col("mom_12_1") - F.col("beta_252") * F.col("mom_m"))
@@ -121,7 +121,7 @@ SIGNS = {"mom_12_1": 1, "mom_6_1": 1, "idio_mom": 1, "dist_52wk": 1, "mom_12_1_v
 
 def liquidity(panel: DataFrame) -> DataFrame:
     x = panel.withColumn("dv", F.col("close") * F.col("volume"))
-    x = x.withColumn("a21", rolling("dv", F.avg("dv"), 21, 15)).withColumn("a126", rolling("dv", F.avg("dv"), 126, 60))
+    x = x.withColumn("a21", rolling_avg("dv", "ticker", "cal_idx", 21, 15)).withColumn("a126", rolling_avg("dv", "ticker", "cal_idx", 126, 60))
     return x.withColumn("turn_trend", F.when(F.col("a126") > 0, F.col("a21") / F.col("a126") - 1)).withColumn("log_adv", F.when(F.col("a21") > 0, F.log("a21"))).drop("dv", "a21", "a126")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import incremental as I
 from ..operators import turns as U
-from ..runtime import latest, latest_files
+from ..runtime import latest, latest_files, spread
 from ..sources.tables import calls_key, day, lowered, read, ticker
 from ..streaming import jobs as S
 from .market import events, prices, r6
@@ -18,7 +18,7 @@ CALL = ["ticker", "quarter", "year"]
 
 
 def calls(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
-    return latest_files(spark, f"{d}/transcripts_text.parquet", calls_key(), "loaded_at", columns)
+    return spread(latest_files(spark, f"{d}/transcripts_text.parquet", calls_key(), "loaded_at", columns))
 
 
 def meta(spark: SparkSession, d: str) -> DataFrame:

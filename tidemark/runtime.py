@@ -57,6 +57,13 @@ def store(df: DataFrame, name: str = "t") -> Stored:
     return Stored(spark, path, df.schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For costly work on few rows: an input in fewer partitions than there are cores is dealt out over all of them.
+    Inputs of any size that fills the cores are left as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key: the one with the greatest ``order``, NULL before any value; equal rows fall together.
 
