@@ -13,6 +13,7 @@ from tidemark.operators.history import _steps, believed, bitemporal_ledger, ledg
 from tidemark.operators.point_in_time import as_known
 from tidemark.operators.snapshot_diff import snapshot_changes, tree_depth
 from tidemark.runtime import latest, store
+from tidemark.streaming import jobs
 
 D = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
 TS = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
@@ -211,3 +212,11 @@ def test_plans_have_no_cartesian_join(spark, sf_dir):
     for q in ("asof_nearest_30d", "asof_legacy_nearest", "asof_backward_10d"):
         plan = QUERIES[q](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_complete_counts_over_several_batches(spark, tmp_path):
+    for i in range(3):
+        spark.createDataFrame([(TS(k % 2), "x", 1.0) for k in range(20)], "ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    s = jobs.read_table(spark, str(tmp_path), "events", files_per_batch=1)
+    got = jobs.run_once(jobs.windowed_counts(s, "ts", "event_type", "1 day", "1 day"), mode="complete")
+    assert sorted((r.window.start, r.n, r.value) for r in got.collect()) == [(TS(0), 30, 30.0), (TS(1), 30, 30.0)]

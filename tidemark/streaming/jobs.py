@@ -34,13 +34,17 @@ def run_once(stream: DataFrame, keys: list[str] | None = None, mode: str = "appe
     """Process what is there and return what was written.
 
     With ``keys``, batches are deduplicated on them before they are written under their batch number, so that a batch
-    repeated after a failure replaces itself.
+    repeated after a failure replaces itself. In complete mode each batch holds the whole result so far and replaces
+    the one before it.
     """
+    if mode not in ("append", "complete"):
+        raise ValueError(f"batches of mode {mode} would have to be merged by key")
     spark = stream.sparkSession
     root = f"{shared_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        (batch.dropDuplicates(keys) if keys else batch).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        part = "all" if mode == "complete" else number
+        (batch.dropDuplicates(keys) if keys else batch).write.mode("overwrite").parquet(f"{root}/out/batch={part}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
