@@ -183,6 +183,43 @@ def test_leaks_kinds_nulls_and_passes(spark):
     assert LK.exact_leaks(empty).count() == 0 and LK.exact_leaks(LK.matched_windows(d, "doc_id", "text", i.limit(0), "item_id", "text")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "swaps",
+    [
+        {"749": "1,250", "41": "-3.5"},
+        {"Lomo Quinmas": "Acme", "Marsom": "Joe Burg"},
+        {"bolts": "kg", "market": "square metres"},
+        {"Lomo Quinmas": "Apple"},
+        {"Lomus Selbal": "Acme"},
+        {"749 bolts": "5%"},
+    ],
+)
+def test_leaks_whole_placeholders(spark, swaps):
+    item = "Lomus Selbal changed in 2021 and Lomo Quinmas moved the forged anvil across from 41 market owners once the apple voucher followed 749 bolts because of Marsom today."
+    other = item
+    for a, b in swaps.items():
+        other = other.replace(a, b)
+    uneven = item.replace("2021", "1,999").replace("41", "7.5").replace("749", "7.5")  # two values of the item are one here
+    d = spark.createDataFrame([(1, "intro. " + other), (2, item), (3, uneven)], "doc_id int, text string")
+    i = spark.createDataFrame([(1, item)], "item_id int, text string")
+    w = LK.matched_windows(d, "doc_id", "text", i, "item_id", "text", placed=True).cache()
+    got = {r.doc_id: (r.kind, r.windows) for r in LK.leaks(w).collect()}
+    per = collections.Counter(reading for _, reading, *_ in LK.placed_windows([item], LK.Lexicon.of([item]), None))
+    met = {r.reading: r.n for r in w.filter("doc_id = 1").groupBy("reading").agg(F.countDistinct("pos").alias("n")).collect()}
+    assert any(met.get(r) == per[r] > 0 for r in (LK.LOOSE, LK.CASED))  # no window of the passage is lost
+    assert 1 in got and got[2][0] == "exact" and 3 not in got
+
+
+def test_long_documents_keep_their_places():
+    rnd = random.Random(3)
+    words = ["alpha", "beta", "12", "3.5", "more", "square", "kg", "Acme", "Lomo", "Quinmas.", "gamma,", "of", "delta"]
+    text = " ".join(rnd.choice(words) for _ in range(4000))
+    lex = LK.Lexicon.of([text])
+    whole = LK.placed_windows([text], lex, None)
+    for block in (1, 40, 300, 5000):
+        assert sorted(LK.placed_windows([text], lex, None, block=block)) == sorted(whole)
+
+
 def test_long_documents_lose_no_window():
     rnd = random.Random(2)
     text = " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(5000))

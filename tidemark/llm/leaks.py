@@ -4,8 +4,11 @@ Texts are brought to their visual form and cut into words. Numbers, names and un
 left is a template, and windows of WIDTH words of it are hashed and joined between items and documents. A window pair
 is exact when the words themselves are equal, else re-parameterised when the values in its slots map one to one.
 
-A word's place in a template depends on nothing but the word as the items use it, so equal passages always have equal
-templates and no exact leak is lost by the placeholders.
+Windows are taken over three readings of a text. WORDS has one placeholder a word; a word's place in it depends on
+nothing but the word as the items use it, so equal passages always have equal templates and no exact leak is lost by the
+placeholders. LOOSE and CASED have one placeholder for a whole number, for a run of names and for a run of units, so that
+the values may differ in their number of words; capital words that the items also write small are plain in LOOSE and names
+in CASED. A unit is a word of UNITS, one that the items use after numbers, or any small word right after a number.
 
 Defined results: NULL and empty texts leak nothing. Case does not count. Exact copies of a document or item each get
 their own rows. Items of fewer than WIDTH words cannot be found.
@@ -37,8 +40,24 @@ TOKEN = re.compile(rf"[^\W_]+|{CUT}")
 #: Words of a template that must be plain for a re-parameterised match.
 MIN_PLAIN = 6
 
+#: A number with its sign, separators and decimals, a word, a percent sign, or a mark that ends a run of names.
+PLACED = re.compile(rf"[^\W\d_][^\W_]*|(?:(?<![\w.,])[-+−])?(?:(?<![\w.])\.)?\d+(?:[.,'’]\d+)*|[^\W_]+|[%{CUT}.,;:!?()\n]")
+MARKS = frozenset(".,;:!?()\n")
+UNITS = frozenset(
+    """percent pct bp bps kg kgs kilogram kilograms gram grams mg tonne tonnes ton tons lb lbs pound pounds oz ounce ounces
+    km kilometre kilometres kilometer kilometers metre metres meter meters cm mm centimetre centimetres centimeter centimeters mile miles
+    yards feet ft inch inches acre acres hectare hectares litre litres liter liters ml gallon gallons barrel barrels pint pints
+    seconds sec minutes min hour hours hr hrs day days week weeks month months quarter quarters year years decade decades
+    dollar dollars cent cents euro euros yen franc francs hundred thousand million millions billion billions trillion dozen
+    watt watts kw kwh mw mwh gw gwh volt volts amp amps joule joules degree degrees celsius fahrenheit hz khz mhz ghz
+    bytes kb mb gb tb crate crates boxes""".split()
+)
+#: Words right after a number that are not its unit.
+NOT_UNITS = frozenset("a an and are as at be but by for from had has have he her his if in into is it its more nor not of on once or our out over she so than that the their them then they this to under until up was we were when where which while who will with you".split())
+
 NONE, NUMBER, NAME, UNIT, FIRST = 0, 1, 2, 3, 4
-SEAM = -1
+SEAM, MARK = -1, -2
+WORDS, LOOSE, CASED = 0, 1, 2
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -47,6 +66,7 @@ class Lexicon:
     """How the items use each lower-case word: as a name, a unit or a plain word."""
 
     kinds: dict[str, int]
+    small: frozenset[str] = frozenset()
 
     @classmethod
     def of(cls, texts: list[str]) -> Lexicon:
@@ -80,7 +100,7 @@ class Lexicon:
                     kinds[k] = UNIT
                 else:
                     kinds[k] = FIRST + len(kinds)
-        return cls(kinds)
+        return cls(kinds, frozenset(small))
 
 
 class _Ids(dict):
@@ -147,11 +167,18 @@ def _stretches(texts: list[str], block: int = BLOCK, width: int = WIDTH) -> Iter
         yield at, f" {CUT} ".join(held)
 
 
+class Forms(list):
+    """Texts in their visual form."""
+
+    def __init__(self, texts: list[str | None]):
+        super().__init__("" if t is None else visual_form(t).replace(CUT, " ") for t in texts)
+
+
 def template_windows(texts: list[str | None], lexicon: Lexicon, wanted: np.ndarray | None, width: int = WIDTH) -> list[tuple[int, int, int, list[str]]]:
     """(text, position, hash, words) of the windows of ``texts``; of ``wanted`` (sorted hashes) only, if given."""
+    forms = texts if isinstance(texts, Forms) else Forms(texts)
     ids = _Ids(lexicon)
     out = []
-    forms = ["" if t is None else visual_form(t).replace(CUT, " ") for t in texts]
     for at, joined in _stretches(forms, width=width):
         words = TOKEN.findall(joined)
         code = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
@@ -167,31 +194,142 @@ def template_windows(texts: list[str | None], lexicon: Lexicon, wanted: np.ndarr
     return out
 
 
+class _Vocabulary(dict):
+    """Numbers of the tokens as written, with what each is in LOOSE and CASED, and its part in finding units."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon = lexicon
+        self.kinds: tuple[list[int], list[int]] = ([], [])
+        self.can: list[bool] = []
+        self.more: list[bool] = []
+
+    def __missing__(self, w: str) -> int:
+        k = w.lower()
+        capital = w[0].isupper()
+        name = capital and k not in self.lexicon.small and not (w.isupper() and k in UNITS)
+        if w == CUT or w in MARKS:
+            kind = SEAM if w == CUT else MARK
+        elif any(c.isdigit() for c in k):
+            kind = NUMBER
+        elif name:
+            kind = NAME
+        else:
+            kind = UNIT if w == "%" or k in UNITS else self.lexicon.kinds.get(k, NONE)
+        self.kinds[0].append(kind)
+        self.kinds[1].append(NAME if capital and kind != NUMBER else kind)
+        self.can.append(not capital and k not in NOT_UNITS and kind not in (SEAM, MARK, NUMBER))
+        self.more.append(k == "more")
+        self[w] = len(self)
+        return len(self) - 1
+
+
+def _groups(kind: np.ndarray, can: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and kinds of the template's places: runs of names and of units are one, marks none."""
+    kind = kind.copy()
+    number = kind == NUMBER
+    after = np.zeros(len(kind), bool)
+    after[1:] = number[:-1]
+    after[2:] |= number[:-2] & more[1:-1]
+    kind[after & can] = UNIT
+    new = kind != MARK
+    new[1:] &= (kind[1:] != kind[:-1]) | ((kind[1:] != NAME) & (kind[1:] != UNIT))
+    at = np.flatnonzero(new)
+    return at, kind[at]
+
+
+def _blocks(texts: list[str], block: int) -> Iterator[tuple[list[int], str, bool]]:
+    """Texts joined by seams up to ``block`` characters; longer ones alone, in parts cut at blanks. The last value tells
+    whether the text goes on."""
+    held: list[int] = []
+    size = 0
+    for i, t in enumerate(texts):
+        if len(t) <= block:
+            held.append(i)
+            size += len(t)
+        if held and (size >= block or len(t) > block or i + 1 == len(texts)):
+            yield held, f" {CUT} ".join(texts[k] for k in held), False
+            held, size = [], 0
+        if len(t) > block:
+            a = 0
+            while a < len(t):
+                b = a + block
+                while b < len(t) and not t[b].isspace():
+                    b += 1
+                yield [i], t[a:b], b < len(t)
+                a = b
+
+
+def placed_windows(texts: list[str | None], lexicon: Lexicon, wanted: np.ndarray | None, width: int = WIDTH, block: int = BLOCK) -> list[tuple[int, int, int, int, list[str], list[bool]]]:
+    """(text, reading, position, hash, values, slots) of the windows in LOOSE and CASED; positions are places of the
+    template, counted over the whole text."""
+    forms = texts if isinstance(texts, Forms) else Forms(texts)
+    out = []
+    vocab = _Vocabulary(lexicon)
+    kept: dict[int, tuple[list[str], int, int]] = {}  # of a text that goes on, by reading: last tokens, places before them, places of them that are done
+    for ids, joined, goes_on in _blocks(forms, block):
+        if len(vocab) > 1_000_000:
+            vocab = _Vocabulary(lexicon)
+        fresh = PLACED.findall(joined)
+        found = np.fromiter(map(vocab.__getitem__, fresh), np.int64, len(fresh))
+        for reading in (LOOSE, CASED):
+            lead, before, done = kept.pop(reading, ([], 0, 0))
+            tokens = lead + fresh
+            index = np.concatenate((np.array([vocab[t] for t in lead], np.int64), found))
+            at, kind = _groups(*(np.array(x)[index] for x in (vocab.kinds[reading - 1], vocab.can, vocab.more))) if tokens else (np.empty(0, np.int64), np.empty(0, np.int64))
+            start, h = window_hashes(kind, width)
+            h = h ^ np.int64(reading * 0x5851F42D4C957F2D & 0x7FFFFFFFFFFFFFFF)
+            ok = start >= done
+            if goes_on:  # the last place may grow; what comes next starts where its kind needs nothing before it
+                ok &= start + width < len(at)
+                done = max(done, len(at) - width)
+                a = min(done, max(len(at) - 1, 0))
+                while a > 0 and (kind[a] == UNIT or vocab.more[index[at[a]]]):
+                    a -= 1
+                kept[reading] = (tokens[at[a] :] if len(at) else [], before + a, done - a)
+            if wanted is not None:
+                k = np.searchsorted(wanted, h)
+                ok &= wanted[np.minimum(k, len(wanted) - 1)] == h if len(wanted) else False
+            start, h = start[ok], h[ok]
+            seams = np.flatnonzero(kind == SEAM)
+            begins = np.concatenate(([0], seams + 1))
+            ends = np.append(at, len(tokens))
+            for p, s, x in zip(np.searchsorted(seams, start), start, h):
+                values = [" ".join(t.lower() for t in tokens[ends[g] : ends[g + 1]] if t not in MARKS) for g in range(s, s + width)]
+                out.append((ids[p], reading, int(before + s - begins[p]), int(x), values, [bool(c < FIRST) for c in kind[s : s + width]]))
+    return out
+
+
 WINDOW = "pos int, h bigint, words array<string>, slots array<boolean>"
 
 
-def matched_windows(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, width: int = WIDTH, per_pass: int = ITEMS_A_PASS) -> DataFrame:
-    """One row per document window and item window with one template: ``doc_id``, ``item_id``, ``pos``, ``ipos``,
-    ``words``, ``iwords``, ``slots`` (which of the words stand in slots)."""
+def matched_windows(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, width: int = WIDTH, per_pass: int = ITEMS_A_PASS, placed: bool = False) -> DataFrame:
+    """One row per document window and item window with one template: ``doc_id``, ``item_id``, ``reading``, ``pos``,
+    ``ipos``, ``words``, ``iwords``, ``slots`` (which of the words stand in slots). With ``placed`` in all readings, else
+    in WORDS, which has every exact leak."""
     spark = docs.sparkSession
     passes = max(1, -(-items.count() // per_pass))
     out = None
     for p in range(passes):
         block = items if passes == 1 else items.filter(F.pmod(F.xxhash64(item_id), F.lit(passes)) == p)
         rows = block.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).dropna().collect()  # a stated query set, in blocks
-        forms = [visual_form(r.t) for r in rows]
+        forms = Forms([r.t for r in rows])
         lexicon = Lexicon.of(forms)
-        windows = template_windows(forms, lexicon, None, width)
         plain = {w for w, k in lexicon.kinds.items() if k >= FIRST}
-        found = pd.DataFrame({"item_id": [rows[i].i for i, *_ in windows], "ipos": [s for _, s, _, _ in windows], "h": [h for _, _, h, _ in windows], "iwords": [w for *_, w in windows], "slots": [[x not in plain for x in w] for *_, w in windows]})
-        schema = f"item_id {dict(items.dtypes)[item_id]}, ipos int, h bigint, iwords array<string>, slots array<boolean>"
+        windows = [(i, WORDS, s, h, w, [x not in plain for x in w]) for i, s, h, w in template_windows(forms, lexicon, None, width)]
+        if placed:
+            windows += placed_windows(forms, lexicon, None, width)
+        found = pd.DataFrame([(rows[i].i, *w) for i, *w in windows], columns=["item_id", "reading", "ipos", "h", "iwords", "slots"])
+        schema = f"item_id {dict(items.dtypes)[item_id]}, reading int, ipos int, h bigint, iwords array<string>, slots array<boolean>"
         index = store(spark.createDataFrame(found, schema) if len(found) else spark.createDataFrame([], schema), "items")
         shared = spark.sparkContext.broadcast((lexicon, np.unique(found["h"].to_numpy(np.int64))))  # of one block of items
 
         def seek(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             lex, wanted = shared.value
             for df in batches:
-                hits = template_windows(df["text"].tolist(), lex, wanted, width)
+                texts = Forms(df["text"].tolist())
+                hits = template_windows(texts, lex, wanted, width)
+                if placed:
+                    hits += [(i, s, h, w) for i, _, s, h, w, _ in placed_windows(texts, lex, wanted, width)]
                 if not hits:
                     continue
                 d = df["doc_id"].to_numpy()
@@ -206,23 +344,25 @@ def matched_windows(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
 
 def exact_leaks(windows: DataFrame) -> DataFrame:
     """Distinct (``doc_id``, ``item_id``) that share a whole window of words."""
-    return windows.filter(F.col("words") == F.col("iwords")).select("doc_id", "item_id").distinct()
+    return windows.filter((F.col("reading") == WORDS) & (F.col("words") == F.col("iwords"))).select("doc_id", "item_id").distinct()
 
 
 def leaks(windows: DataFrame, min_plain: int = MIN_PLAIN) -> DataFrame:
-    """Documents and items with ``kind`` (exact, reparameterised) and ``windows``, the document windows that match.
+    """Documents and items with ``kind`` (exact, reparameterised) and ``windows``, the document windows that match in the
+    reading in which most do.
 
-    Windows on one diagonal (document position less item position) belong to one passage. Its slots are consistent
+    Windows of one reading on one diagonal (document position less item position) belong to one passage. Its slots are consistent
     when each value of the item always stands for one value of the document and the other way round.
     """
     zipped = F.arrays_zip("iwords", "words", "slots")
     slots = F.transform(F.filter(zipped, lambda x: x["slots"]), lambda x: F.struct(x["iwords"].alias("i"), x["words"].alias("d")))
-    w = windows.select("doc_id", "item_id", "pos", (F.col("pos") - F.col("ipos")).alias("diag"), (F.col("words") == F.col("iwords")).alias("same"), slots.alias("slots"), (F.size("slots") - F.size(F.filter("slots", lambda x: x))).alias("plain"))
+    w = windows.select("doc_id", "item_id", "reading", "pos", (F.col("pos") - F.col("ipos")).alias("diag"), ((F.col("reading") == WORDS) & (F.col("words") == F.col("iwords"))).alias("same"), slots.alias("slots"), (F.size("slots") - F.size(F.filter("slots", lambda x: x))).alias("plain"))
     w = store(w.filter((F.col("plain") >= min_plain) | F.col("same")), "leak-windows").df
-    key = ["doc_id", "item_id", "diag"]
+    key = ["doc_id", "item_id", "reading", "diag"]
     pairs = w.select(*key, F.explode("slots").alias("s")).select(*key, "s.i", "s.d").distinct()
-    count = pairs.groupBy(*key).agg(F.count("*").alias("n"), F.countDistinct("i").alias("ni"), F.countDistinct("d").alias("nd"))
-    bad = count.filter("n <> ni or n <> nd").select(*key, F.lit(True).alias("bad"))
+    count = pairs.groupBy(*key).agg(F.count("*").alias("n"), F.countDistinct("i").alias("ni"), F.countDistinct("d").alias("nd"), F.max(F.col("i") != F.col("d")).alias("other"))
+    bad = count.filter(f"n <> ni or n <> nd or reading <> {WORDS} and not other").select(*key, F.lit(True).alias("bad"))
     per = w.groupBy(*key).agg(F.max("same").alias("same"), F.countDistinct("pos").alias("windows")).join(bad, key, "left").filter("same or bad is null")
-    out = per.groupBy("doc_id", "item_id").agg(F.max("same").alias("same"), F.sum("windows").alias("windows"))
+    per = per.groupBy("doc_id", "item_id", "reading").agg(F.max("same").alias("same"), F.sum("windows").alias("windows"))
+    out = per.groupBy("doc_id", "item_id").agg(F.max("same").alias("same"), F.max("windows").alias("windows"))
     return out.select("doc_id", "item_id", F.when(F.col("same"), "exact").otherwise("reparameterised").alias("kind"), "windows")

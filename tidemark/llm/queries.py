@@ -97,8 +97,8 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*CALL, "field", (F.col("piece_no") + 1).alias("piece_no"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("piece"))
 
 
-def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matched_windows(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_items"), "item_id", "text")
+def _windows(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    return matched_windows(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_items"), "item_id", "text", placed=placed)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact leaks and those with other numbers, names or units."""
-    return leaks(_windows(spark, sf_dir))
+    return leaks(_windows(spark, sf_dir, placed=True))
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
