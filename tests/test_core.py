@@ -9,6 +9,7 @@ from tidemark.functions import exprs as E
 from tidemark.functions import text as T
 from tidemark.operators import asof, ensemble, evaluate, incremental, panel, portfolio, turns
 from tidemark.operators import market as M
+from tidemark.operators import ml as L
 from tidemark.operators.history import _steps, believed, bitemporal_ledger, ledger_steps_reference, versions
 from tidemark.operators.point_in_time import as_known
 from tidemark.operators.snapshot_diff import snapshot_changes, tree_depth
@@ -220,3 +221,21 @@ def test_complete_counts_over_several_batches(spark, tmp_path):
     s = jobs.read_table(spark, str(tmp_path), "events", files_per_batch=1)
     got = jobs.run_once(jobs.windowed_counts(s, "ts", "event_type", "1 day", "1 day"), mode="complete")
     assert sorted((r.window.start, r.n, r.value) for r in got.collect()) == [(TS(0), 30, 30.0), (TS(1), 30, 30.0)]
+
+
+def test_search_tries_the_grid_before_the_predicted_folds(spark):
+    rnd = random.Random(1)
+    data = [(D(i), x, x + rnd.gauss(0, 0.1)) for i in range(40) for x in [rnd.gauss(0, 1)]]
+    tried = []
+
+    def make(alpha):
+        tried.append(alpha)
+        return L.ridge(alpha)
+
+    best = []
+    for sign in (1, -1):  # labels of the predicted folds do not count
+        rows = [(d, x, y if d < D(16) else sign * 9 * y) for d, x, y in data]
+        df = L.date_folds(spark.createDataFrame(rows, "date date, x double, y double"), "date", 3)
+        best.append(L.search(df, ["x"], "y", {"alpha": [500.0, 5.0, 0.5]}, make, 30))
+    assert tried == [500.0, 5.0, 0.5] * 2
+    assert best[0] == best[1] and best[0][0] == {"alpha": 0.5}

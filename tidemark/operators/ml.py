@@ -6,6 +6,7 @@ over folds runs a fixed number of fits on the driver's side; each fit is a distr
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections.abc import Callable
 from functools import reduce
@@ -69,13 +70,15 @@ def walk_forward(df: DataFrame, features: list[str], label: str, model: Callable
     return reduce(DataFrame.unionByName, out) if out else df.limit(0).withColumn("predicted", F.lit(None).cast("double"))
 
 
-def search(df: DataFrame, features: list[str], label: str, space: dict[str, list], make: Callable[..., Callable[[int], object]], trials: int, k: int = 3, seed: int = 42) -> tuple[dict, float]:
-    """The best of ``trials`` seeded draws from ``space`` by mean squared error over the time-ordered folds."""
-    draw = random.Random(seed)
+def search(df: DataFrame, features: list[str], label: str, space: dict[str, list], make: Callable[..., Callable[[int], object]], trials: int, date: str = "date", k: int = 5, seed: int = 42) -> tuple[dict, float]:
+    """The best of ``trials`` different seeded draws from ``space``, or of all of it if it has no more, by mean squared
+    error over ``k`` time-ordered folds of fold 0, whose dates come before all that are predicted."""
+    grid = [dict(zip(space, values)) for values in itertools.product(*space.values())]
+    draws = grid if len(grid) <= trials else random.Random(seed).sample(grid, trials)
+    tune = date_folds(df.filter("fold = 0").drop("fold"), date, k, 1 / (k + 1))
     best: tuple[dict, float] = ({}, float("inf"))
-    for _ in range(trials):
-        params = {name: draw.choice(values) for name, values in space.items()}
-        err = walk_forward(df, features, label, make(**params), k).agg(F.avg(F.pow(F.col("predicted") - F.col(label), 2))).first()[0]
+    for params in draws:
+        err = walk_forward(tune, features, label, make(**params), k).agg(F.avg(F.pow(F.col("predicted") - F.col(label), 2))).first()[0]
         if err is not None and err < best[1]:
             best = (params, err)
     return best

@@ -23,7 +23,7 @@ def ridge_walkforward(spark, d):
 
 def tuned_ridge(spark, d):
     x = _data(spark, d)
-    params, _ = L.search(x, FEATURES, "actual", {"alpha": [0.5, 5.0, 50.0]}, L.ridge, 2)
+    params, _ = L.search(x, FEATURES, "actual", {"alpha": [0.5, 5.0, 50.0]}, L.ridge, 30)
     return L.walk_forward(x, FEATURES, "actual", L.ridge(**params)).select(*OUT, "actual", "predicted")
 
 
