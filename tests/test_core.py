@@ -239,3 +239,9 @@ def test_search_tries_the_grid_before_the_predicted_folds(spark):
         best.append(L.search(df, ["x"], "y", {"alpha": [500.0, 5.0, 0.5]}, make, 30))
     assert tried == [500.0, 5.0, 0.5] * 2
     assert best[0] == best[1] and best[0][0] == {"alpha": 0.5}
+
+
+def test_boosting_has_all_rounds(spark):
+    for m in (L.boosted()(9), L.boosted(classify=True)(9)):
+        assert (m.getMaxIter(), m.getStepSize()) == (300, 0.05)
+    assert L.boosted(maxIter=7)(9).getMaxIter() == 7

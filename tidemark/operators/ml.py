@@ -40,7 +40,7 @@ def logit(c: float = 1.0) -> Callable[[int], object]:
 
 
 def boosted(classify: bool = False, **params) -> Callable[[int], object]:
-    p = {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1, "seed": 42} | params
+    p = {"maxIter": 300, "maxDepth": 3, "stepSize": 0.05, "seed": 42} | params
     return lambda n: (GBTClassifier if classify else GBTRegressor)(featuresCol="_x", labelCol="_y", **p)
 
 
