@@ -218,6 +218,10 @@ def test_long_documents_keep_their_places():
     whole = LK.placed_windows([text], lex, None)
     for block in (1, 40, 300, 5000):
         assert sorted(LK.placed_windows([text], lex, None, block=block)) == sorted(whole)
+    texts = ["alpha beta", text, "", text[:700]]
+    whole = LK.template_windows(texts, lex, None)
+    for block in (1, 40, 300, 5000):
+        assert sorted(LK.template_windows(texts, lex, None, block=block)) == sorted(whole)
 
 
 def test_long_documents_lose_no_window():

@@ -174,12 +174,14 @@ class Forms(list):
         super().__init__("" if t is None else visual_form(t).replace(CUT, " ") for t in texts)
 
 
-def template_windows(texts: list[str | None], lexicon: Lexicon, wanted: np.ndarray | None, width: int = WIDTH) -> list[tuple[int, int, int, list[str]]]:
-    """(text, position, hash, words) of the windows of ``texts``; of ``wanted`` (sorted hashes) only, if given."""
+def template_windows(texts: list[str | None], lexicon: Lexicon, wanted: np.ndarray | None, width: int = WIDTH, block: int = BLOCK) -> list[tuple[int, int, int, list[str]]]:
+    """(text, position, hash, words) of the windows of ``texts``; of ``wanted`` (sorted hashes) only, if given. Positions are
+    counted over the whole text."""
     forms = texts if isinstance(texts, Forms) else Forms(texts)
     ids = _Ids(lexicon)
     out = []
-    for at, joined in _stretches(forms, width=width):
+    last, past = -1, 0  # the text that came last, and its words before the next part's lead
+    for at, joined in _stretches(forms, block, width):
         words = TOKEN.findall(joined)
         code = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
         start, h = window_hashes(code, width)
@@ -190,7 +192,12 @@ def template_windows(texts: list[str | None], lexicon: Lexicon, wanted: np.ndarr
         seams = np.flatnonzero(code == SEAM)
         part = np.searchsorted(seams, start)
         begins = np.concatenate(([0], seams + 1))
-        out.extend((at[p], int(s - begins[p]), int(x), [w.lower() for w in words[s : s + width]]) for p, s, x in zip(part, start, h))
+        lengths = np.append(seams, len(words)) - begins
+        before = []
+        for i, n in zip(at, lengths.tolist()):
+            before.append(past if i == last else 0)
+            last, past = i, before[-1] + max(0, n - (width - 1))
+        out.extend((at[p], int(s - begins[p]) + before[p], int(x), [w.lower() for w in words[s : s + width]]) for p, s, x in zip(part, start, h))
     return out
 
 
