@@ -123,7 +123,7 @@ def test_event_returns_branches(spark):
     px = spark.createDataFrame([("a", D(i), 100.0 + i) for i in range(5)] + [("b", D(i), None if i == 0 else 1.0) for i in range(5)], "ticker string, date date, close double")
     cal = M.calendar(px)
     e = spark.createDataFrame([("a", D(-1)), ("a", D(4)), ("b", D(0)), ("zz", D(0)), ("a", D(40))], "ticker string, earnings_date date")
-    got = M.event_window_returns(M.entries(e, "earnings_date", cal), ["ticker", "earnings_date"], px.join(cal, "date"), (1,))
+    got = M.event_window_returns(M.entries(e, "earnings_date", cal), ["ticker", "earnings_date"], px, cal, (1,))
     r = {(x.ticker, x.earnings_date): x.r1 for x in got.collect()}
     assert abs(r["a", D(-1)] - 0.01) < 1e-12 and [v for k, v in r.items() if k != ("a", D(-1))] == [None] * 4
 

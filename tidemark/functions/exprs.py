@@ -72,9 +72,9 @@ def average_rank(c: str | Column, *by: str | Column) -> Column:
 
 
 def zscore(c: str | Column, *by: str | Column) -> Column:
-    """(x - mean) / population deviation, 0 where the sample deviation is 0 or undefined; NULL for NULL."""
+    """(x - mean) / population deviation, NULL for NULL; 0 for all of a group whose sample deviation is 0 or undefined."""
     c, w = col(c), W.partitionBy(*by)
-    return F.when(c.isNotNull(), F.when(F.stddev_samp(c).over(w) > 0, (c - F.avg(c).over(w)) / F.stddev_pop(c).over(w)).otherwise(0.0))
+    return F.when(F.stddev_samp(c).over(w) > 0, (c - F.avg(c).over(w)) / F.stddev_pop(c).over(w)).otherwise(0.0)
 
 
 def quantile_bin(rank: Column, n: Column, bins: int = 10) -> Column:
@@ -83,12 +83,14 @@ def quantile_bin(rank: Column, n: Column, bins: int = 10) -> Column:
     return F.greatest(F.lit(0), reduce(lambda a, b: a + b, edges) - 1)
 
 
-def many_pct_ranks(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    """Long form: ``_row`` (the whole row), ``_name``, ``_p`` with the percent rank of each of ``cols`` within ``by``.
+def many_pct_ranks(df: DataFrame, cols: list[str], by: list[str], keys: list[str]) -> DataFrame:
+    """Long form: ``keys``, ``_name``, ``_p`` with the percent rank of each of ``cols`` within ``by``.
 
-    All columns are ranked in one pass over one partitioning instead of one sort each.
+    All columns are ranked in one pass over one partitioning instead of one sort each; only keys, name and value are
+    shuffled, not the rows.
     """
     each = F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v")) for c in cols])
-    long = df.select(F.struct(*df.columns).alias("_row"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.explode(each).alias("_x"))
-    long = long.select("_row", *[f"_by{i}" for i in range(len(by))], "_x._name", "_x._v")
-    return long.select("_row", "_name", pct_rank("_v", *[f"_by{i}" for i in range(len(by))], "_name").alias("_p"))
+    groups = [f"_by{i}" for i in range(len(by))]
+    long = df.select(*keys, *[F.col(c).alias(g) for g, c in zip(groups, by)], F.explode(each).alias("_x"))
+    long = long.select(*keys, *groups, "_x._name", "_x._v")
+    return long.select(*keys, "_name", pct_rank("_v", *groups, "_name").alias("_p"))

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import at_offset, col, enough, many_pct_ranks, rolling_avg, rolling_std, trailing
-from ..runtime import latest
+from ..runtime import latest, store
 
 WINDOWS = (1, 30, 90)
 
@@ -28,8 +28,9 @@ def clean_prices(raw: DataFrame, keys: tuple[str, str] = ("ticker", "date"), ord
     return latest(raw, list(keys), order).drop(order)
 
 
-def on_calendar(prices: DataFrame) -> DataFrame:
-    return prices.join(F.broadcast(calendar(prices)), "date")
+def on_calendar(prices: DataFrame, cal: DataFrame | None = None) -> DataFrame:
+    """With ``cal_idx``; a calendar from the raw dates, if given, spares a pass over the cleaned prices."""
+    return prices.join(F.broadcast(cal if cal is not None else calendar(prices)), "date")  # one row per day
 
 
 def entries(events: DataFrame, event_date: str, cal: DataFrame) -> DataFrame:
@@ -48,40 +49,44 @@ def entries(events: DataFrame, event_date: str, cal: DataFrame) -> DataFrame:
     return e.join(F.broadcast(days), "_d", "left").drop("_d", "_lo")
 
 
-def event_window_returns(events: DataFrame, key: list[str], panel: DataFrame, windows: tuple[int, ...], price: str = "close", forward: bool = True) -> DataFrame:
+def event_window_returns(events: DataFrame, key: list[str], prices: DataFrame, cal: DataFrame, windows: tuple[int, ...], price: str = "close", forward: bool = True, benchmark: str | None = None) -> DataFrame:
     """``key`` with ``r{n}``: close n rows after the entry over close at entry, less 1 (or entry over n rows before).
 
-    Each event asks for a few (ticker, position) points; one equi-join answers all of them. A missing price at the
+    Each event asks for a few points of the calendar, of its ticker and, if given, of the ``benchmark`` (``b{n}``); one
+    equi-join on (ticker, date), by which prices are already clustered, answers all of them. A missing price at the
     exact position gives NULL, nothing is filled.
     """
     step = 1 if forward else -1
-    wanted = F.array(*[F.struct(F.lit(n).alias("n"), (F.col("entry_idx") + step * n).alias("cal_idx")) for n in (0, *windows)])
-    asked = events.select(*key, "entry_idx", F.explode(wanted).alias("x")).select(*key, "x.n", "x.cal_idx")
-    got = asked.join(panel.select("ticker", "cal_idx", col(price).alias("_px")), ["ticker", "cal_idx"], "left")
-    out = got.groupBy(*key).agg(*[F.max(F.when(F.col("n") == n, F.col("_px"))).alias(f"_p{n}") for n in (0, *windows)])
-    ratio = lambda n: F.try_divide(f"_p{n}", "_p0") if forward else F.try_divide("_p0", f"_p{n}")
-    return out.select(*key, *[(ratio(n) - 1).alias(f"r{n}") for n in windows])
-
-
-def asof_daily(series: DataFrame, date: str, value: str, days: DataFrame) -> DataFrame:
-    """(day, value): the last non-missing value on or before each day. Both sides are calendars."""
-    u = days.select(F.col("day")).distinct().join(series.select(F.col(date).alias("day"), F.col(value)).dropna().groupBy("day").agg(F.max(value).alias(value)), "day", "full")
-    return u.withColumn(value, F.last(value, ignorenulls=True).over(W.orderBy("day").rowsBetween(W.unboundedPreceding, 0)))
+    who = [("p", F.col("ticker"))] + ([("q", F.lit(benchmark))] if benchmark else [])
+    wanted = F.array(*[F.struct(F.lit(k).alias("k"), t.alias("t"), F.lit(n).alias("n"), (F.col("entry_idx") + step * n).alias("cal_idx")) for k, t in who for n in (0, *windows)])
+    asked = events.select(*key, F.explode(wanted).alias("x")).select(*key, "x.*")
+    asked = asked.join(F.broadcast(cal.select("cal_idx", F.col("date").alias("_at"))), "cal_idx", "left")  # one row per day
+    px = prices.select(F.col("ticker").alias("t"), F.col("date").alias("_at"), F.col(price).alias("_px"))
+    got = asked.join(px, ["t", "_at"], "left")
+    out = got.groupBy(*key).agg(*[F.max(F.when((F.col("k") == k) & (F.col("n") == n), F.col("_px"))).alias(f"_{k}{n}") for k, _ in who for n in (0, *windows)])
+    ratio = lambda k, n: F.try_divide(f"_{k}{n}", f"_{k}0") if forward else F.try_divide(f"_{k}0", f"_{k}{n}")
+    return out.select(*key, *[(ratio(k, n) - 1).alias(f"{'r' if k == 'p' else 'b'}{n}") for k, _ in who for n in windows])
+
+
+def known_daily(df: DataFrame, day: str, series: DataFrame, date: str, value: str) -> DataFrame:
+    """``df`` with ``value``: the last non-missing value of a daily series on or before ``day``.
+
+    Each value is spread over the days until the next one; after the last date the last value holds. Both sides of the
+    join are calendars, a row per day.
+    """
+    s = series.select(F.col(date).alias("_d"), F.col(value)).dropna().groupBy("_d").agg(F.max(value).alias(value))
+    upto = F.coalesce(F.date_sub(F.lead("_d").over(W.orderBy("_d")), 1), F.col("_d"))
+    days = s.withColumn("_upto", upto).select(F.explode(F.sequence("_d", "_upto")).alias("_day"), F.col(value).alias("_v"))
+    end = s.agg(F.max_by(value, "_d").alias("_last"), F.max("_d").alias("_end"))
+    x = df.drop(value).join(F.broadcast(days), F.col(day) == F.col("_day"), "left").join(F.broadcast(end))  # the end is one row
+    return x.withColumn(value, F.coalesce("_v", F.when(F.col(day) > F.col("_end"), F.col("_last")))).drop("_day", "_v", "_last", "_end")
 
 
-def event_returns(events: DataFrame, prices: DataFrame, benchmark: str, vix: DataFrame, special: tuple[str, str], windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+def event_returns(events: DataFrame, prices: DataFrame, cal: DataFrame, benchmark: str, vix: DataFrame, special: tuple[str, str], windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """Returns after each event, less the benchmark's over the same rows, with the last known VIX and a period flag."""
-    cal = calendar(prices)
-    panel = prices.join(F.broadcast(cal), "date")
-    e = entries(events, "earnings_date", cal)
     key = ["ticker", "earnings_date"]
-    own = event_window_returns(e, key, panel, windows)
-    dates = e.select("earnings_date", "entry_idx").distinct().withColumn("ticker", F.lit(benchmark))
-    bench = event_window_returns(dates, key, panel.filter(F.col("ticker") == benchmark), windows)
-    bench = bench.select("earnings_date", *[F.col(f"r{n}").alias(f"b{n}") for n in windows])
-    known = asof_daily(vix, "date", "vix_close", e.select(F.col("earnings_date").alias("day")))
-    out = own.join(F.broadcast(bench), "earnings_date", "left")  # one row per event date
-    out = out.join(F.broadcast(known.withColumnRenamed("day", "earnings_date")), "earnings_date", "left")
+    out = event_window_returns(entries(events, "earnings_date", cal), key, prices, cal, windows, benchmark=benchmark)
+    out = known_daily(out, "earnings_date", vix, "date", "vix_close")
     cols = [F.col(f"r{n}").alias(f"return_{n}d") for n in windows] + [(F.col(f"r{n}") - F.col(f"b{n}")).alias(f"abnormal_{n}d") for n in windows]
     return out.select(*key, *cols, "vix_close", F.col("earnings_date").between(*special).alias("is_covid"))
 
@@ -132,26 +137,28 @@ def month_ends(cal: DataFrame, warmup: int, hold: int) -> DataFrame:
     return last.join(F.broadcast(n)).filter((F.col("cal_idx") >= warmup) & (F.col("cal_idx") <= F.col("_n") - hold)).select("cal_idx")
 
 
-def momentum_panel(prices: DataFrame, benchmark: str, sector: Column, hold: int = 21, warmup: int = 260) -> DataFrame:
+def momentum_panel(prices: DataFrame, cal: DataFrame, benchmark: str, sector: Column, hold: int = 21, warmup: int = 260) -> DataFrame:
     """Month-end rows with features, liquidity, the return ahead less beta times the benchmark's, and sector ranks."""
-    panel = on_calendar(prices)
+    panel = on_calendar(prices, cal)
     f = liquidity(momentum_features(panel, benchmark))
     ahead = F.try_divide(at_offset("close", "ticker", "cal_idx", hold), F.col("close")) - 1
     f = f.withColumn("raw_target", ahead)
     bench = f.filter(F.col("ticker") == benchmark).select("cal_idx", F.col("raw_target").alias("_bt"))
-    f = f.join(F.broadcast(month_ends(calendar(prices), warmup, hold)), "cal_idx", "left_semi")
+    f = f.join(F.broadcast(month_ends(cal, warmup, hold)), "cal_idx", "left_semi")
     f = f.join(F.broadcast(bench), "cal_idx", "left").withColumn("target", F.col("raw_target") - F.col("beta_252") * F.col("_bt")).drop("_bt")
     f = f.filter((F.col("ticker") != benchmark) & F.col("target").isNotNull() & F.col("mom_12_1").isNotNull()).withColumn("sector", sector)
     ranked = [*BASE, "mom_12_1_va", "mom_6_1_va", "idio_mom_va", "rev_5d_va", "turn_trend", "log_adv"]
-    long = many_pct_ranks(f, ranked, ["date", "sector"])
-    wide = long.groupBy("_row.date", "_row.ticker").agg(F.first("_row").alias("_row"), *[F.max(F.when(F.col("_name") == c, F.col("_p"))).alias(f"{c}_sn") for c in ranked])
-    return wide.select("_row.*", *[f"{c}_sn" for c in ranked])
+    f = store(f, "panel").df
+    long = many_pct_ranks(f, ranked, ["date", "sector"], ["date", "ticker"])
+    wide = long.groupBy("date", "ticker").agg(*[F.max(F.when(F.col("_name") == c, F.col("_p"))).alias(f"{c}_sn") for c in ranked])
+    return f.join(wide, ["date", "ticker"])
 
 
 def composite(panel: DataFrame, signs: dict[str, int] = SIGNS) -> DataFrame:
     """``composite``: the mean of signed percent ranks by date over the signed columns and their sector ranks."""
     use = {c + s: v for c, v in signs.items() for s in ("", "_sn") if c + s in panel.columns}
     sign = F.create_map(*[F.lit(x) for c, v in use.items() for x in (c, float(v))])
-    long = many_pct_ranks(panel, list(use), ["date"])
+    panel = store(panel, "ranked").df
+    long = many_pct_ranks(panel, list(use), ["date"], ["date", "ticker"])
     total = F.when(F.count("_p") == len(use), F.sum(sign[F.col("_name")] * F.col("_p")) / len(use))
-    return long.groupBy("_row.date", "_row.ticker").agg(F.first("_row").alias("_row"), total.alias("composite")).select("_row.*", "composite")
+    return panel.join(long.groupBy("date", "ticker").agg(total.alias("composite")), ["date", "ticker"])

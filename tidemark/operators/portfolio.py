@@ -54,15 +54,39 @@ def book_stats(df: DataFrame, by: str = "date") -> DataFrame:
 
 
 def trades(df: DataFrame, by: str, cutoff: float | Column = 0.2, hold: int = 30, least: int = 5, bps: float = 10, borrow_bps: float = 50) -> DataFrame:
-    """Equal-weighted top and bottom ``cutoff`` of each group with at least ``least`` names, with gross and net return."""
+    """Equal-weighted top and bottom ``cutoff`` of each group with at least ``least`` outcomes, with gross and net return.
+
+    Every row with an outcome stays: ``side`` and ``weight`` are 0 without a score, off the tails and in small groups,
+    which then return 0. ``ew`` is the row's part in the equal-weighted return of its group.
+    """
     keys = [by] if isinstance(cutoff, float) else [by, "cutoff"]
     c = F.lit(cutoff) if isinstance(cutoff, float) else cutoff
-    x = df.filter("score is not null and actual is not null").withColumn("_p", pct_rank("score", *keys)).withColumn("_n", F.count("*").over(W.partitionBy(*keys)))
-    side = F.when(F.col("_p") >= 1 - c, 1).when(F.col("_p") <= c, -1).otherwise(0)
-    x = x.filter(F.col("_n") >= least).withColumn("side", side).filter("side <> 0")
-    x = x.withColumn("weight", F.col("side") / F.count("*").over(W.partitionBy(*keys, "side")))
+    x = df.filter("actual is not null").withColumn("_p", pct_rank("score", *keys)).withColumn("n_names", F.count("*").over(W.partitionBy(*keys)))
+    side = F.when(F.col("n_names") < least, 0).when(F.col("_p") >= 1 - c, 1).when(F.col("_p") <= c, -1).otherwise(0)
+    # A name in both tails (a cutoff of one half) is long and short at once.
+    both = (F.col("n_names") >= least) & (F.col("_p") >= 1 - c) & (F.col("_p") <= c)
+    x = x.withColumn("side", side).withColumn("_long", F.coalesce((F.col("side") == 1), F.lit(False))).withColumn("_short", F.coalesce((F.col("side") == -1) | both, F.lit(False)))
+    w = W.partitionBy(*keys)
+    leg = lambda f: F.when(F.col(f), 1 / F.sum(F.col(f).cast("int")).over(w)).otherwise(0.0)
+    x = x.withColumn("weight", leg("_long") - leg("_short"))
     cost = F.abs("weight") * (bps / 1e4) + F.when(F.col("weight") < 0, F.abs("weight") * (borrow_bps / 1e4) * hold / 252).otherwise(0.0)
-    return x.withColumn("gross", F.col("weight") * F.col("actual")).withColumn("net", F.col("gross") - cost).drop("_p", "_n")
+    x = x.withColumn("gross", F.col("weight") * F.col("actual")).withColumn("net", F.col("gross") - cost).withColumn("ew", F.col("actual") / F.col("n_names"))
+    return x.withColumnsRenamed({"_long": "is_long", "_short": "is_short"}).drop("_p")
+
+
+def event_pnl(tr: DataFrame, by: list[str]) -> DataFrame:
+    """Per group: names, gross, net and equal-weighted return, positions, mean outcome of the long and of the short leg."""
+    n = lambda f: F.sum(F.col(f).cast("int")).cast("bigint")
+    leg = lambda f: F.avg(F.when(F.col(f), F.col("actual")))
+    return tr.groupBy(*by).agg(F.count("*").alias("n"), F.sum("gross").alias("gross"), F.sum("net").alias("net"), F.sum("ew").alias("ew"), n("is_long").alias("n_long"), n("is_short").alias("n_short"), leg("is_long").alias("long_only"), leg("is_short").alias("short_raw"))
+
+
+def long_short(panel: DataFrame, score: str, ret: str, by: str = "date", top: float = 0.1, hold: int = 21, bps: float = 10, borrow_bps: float = 50) -> DataFrame:
+    """Per date: mean of the top less the bottom ``top`` by score, and net of a round trip on both legs and the borrow."""
+    x = panel.withColumn("_p", pct_rank(score, by))
+    gross = F.avg(F.when(F.col("_p") >= 1 - top, F.col(ret))) - F.avg(F.when(F.col("_p") <= top, F.col(ret)))
+    cost = 2 * (bps / 1e4) + (borrow_bps / 1e4) * hold / 252
+    return x.groupBy(by).agg(gross.alias("gross")).withColumn("net", F.col("gross") - cost)
 
 
 def drawdowns(series: DataFrame, by: list[str], order: str, r: str) -> DataFrame:
@@ -73,18 +97,29 @@ def drawdowns(series: DataFrame, by: list[str], order: str, r: str) -> DataFrame
 
 
 def metrics(series: DataFrame, by: list[str], order: str, r: str, per_year: float) -> DataFrame:
-    """total, CAGR (years at least 1/12), Sharpe (0 without spread), greatest drawdown, share of wins, mean, n."""
-    x = drawdowns(series.filter(F.col(r).isNotNull()), by, order, r)
-    out = x.groupBy(*by).agg(F.count("*").alias("n"), F.product(1 + F.col(r)).alias("_end"), F.avg(r).alias("avg"), F.stddev_samp(r).alias("_sd"), F.min("drawdown").alias("max_drawdown"), F.avg((F.col(r) > 0).cast("double")).alias("win_rate"), F.datediff(F.max(order), F.min(order)).alias("_days"))
+    """n, total, CAGR (years at least 1/12), Sharpe (0 without spread), greatest drawdown, share of wins, mean; all 0 with
+    fewer than two returns."""
+    x = drawdowns(series, by, order, r)
+    at = F.when(F.col(r).isNotNull(), F.col(order))
+    out = x.groupBy(*by).agg(F.count(r).alias("n"), F.product(1 + F.col(r)).alias("_end"), F.avg(r).alias("avg"), F.stddev_samp(r).alias("_sd"), F.min(F.when(F.col(r).isNotNull(), F.col("drawdown"))).alias("max_drawdown"), F.avg((F.col(r) > 0).cast("double")).alias("win_rate"), F.datediff(F.max(at), F.min(at)).alias("_days"))
     years = F.greatest(F.col("_days") / 365.25, F.lit(1 / 12))
     cagr = F.when(F.col("_end") > 0, F.pow("_end", 1 / years) - 1)
-    sharpe = F.when((F.col("n") < 2) | (F.col("_sd") == 0), 0.0).otherwise(F.col("avg") / F.col("_sd") * math.sqrt(per_year))
-    return out.select(*by, "n", (F.col("_end") - 1).alias("total"), cagr.alias("cagr"), sharpe.alias("sharpe"), "max_drawdown", "win_rate", "avg")
-
-
-def rolling_sharpe(series: DataFrame, order: str, r: str, k: int, per_year: float) -> DataFrame:
-    """Over the last ``k`` periods, NULL before there are so many. The series has one row per period."""
-    w = W.orderBy(order).rowsBetween(-(k - 1), 0)
-    sd = F.stddev_samp(r).over(w)
-    value = F.when(sd > 0, F.avg(r).over(w) / sd * math.sqrt(per_year)).otherwise(0.0)
-    return series.withColumn("rolling_sharpe", F.when(F.count(r).over(w) >= k, value))
+    sharpe = F.when(F.col("_sd") == 0, 0.0).otherwise(F.col("avg") / F.col("_sd") * math.sqrt(per_year))
+    two = lambda c: F.when(F.col("n") < 2, 0.0).otherwise(c)
+    return out.select(*by, "n", two(F.col("_end") - 1).alias("total"), two(cagr).alias("cagr"), two(sharpe).alias("sharpe"), *[two(F.col(c)).alias(c) for c in ("max_drawdown", "win_rate", "avg")])
+
+
+def rolling_sharpe(series: DataFrame, order: str, r: str, per_year: float, most: int = 20) -> DataFrame:
+    """Over the last min(``most``, a quarter of all) periods, NULL before there are so many and where that is under 4.
+
+    The series has one row per period, so its whole length is a row count of a calendar.
+    """
+    x = series.filter(F.col(r).isNotNull())
+    at = F.row_number().over(W.orderBy(order))
+    x = x.withColumn("_i", at).join(F.broadcast(x.agg(F.least(F.lit(most), F.floor(F.count("*") / 4)).cast("int").alias("_k"))))
+    held = F.collect_list(F.col(r)).over(W.orderBy(order).rowsBetween(-(most - 1), 0))
+    last = F.slice(held, F.greatest(F.size(held) - F.col("_k") + 1, F.lit(1)), F.greatest(F.col("_k"), F.lit(1)))
+    sums = F.aggregate(last, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, v: F.struct((a["s"] + v).alias("s"), (a["q"] + v * v).alias("q")))
+    x = x.withColumn("_m", sums["s"] / F.col("_k")).withColumn("_sd", F.sqrt(F.aggregate(last, F.lit(0.0), lambda a, v: a + (v - sums["s"] / F.col("_k")) * (v - sums["s"] / F.col("_k"))) / (F.col("_k") - 1)))
+    value = F.when(F.col("_sd") > 0, F.col("_m") / F.col("_sd") * math.sqrt(per_year)).otherwise(0.0)
+    return x.withColumn("rolling_sharpe", F.when((F.col("_k") >= 4) & (F.col("_i") >= F.col("_k")), value)).drop("_i", "_k", "_m", "_sd")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import average_rank, clip, pct_rank
+from ..functions.exprs import average_rank, clip, pct_rank, rolling_avg
 from ..operators import market as M
 from ..operators.asof import asof_backward, asof_legacy, asof_nearest
 from ..operators.panel import expanding_z, past_stats, qoq, streak
@@ -28,6 +28,15 @@ def prices(spark: SparkSession, d: str) -> DataFrame:
     return M.clean_prices(raw.select(ticker().alias("ticker"), "date", *vals, "loaded_at"))
 
 
+def cal(spark: SparkSession, d: str) -> DataFrame:
+    """The calendar of all price dates, from the date column alone."""
+    return M.calendar(read(spark, d, "prices").select("date"))
+
+
+def on_cal(spark: SparkSession, d: str) -> DataFrame:
+    return M.on_calendar(prices(spark, d), cal(spark, d))
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
     """Distinct events with their greatest values, at 4 decimals."""
     e = read(spark, d, "earnings").filter("earnings_date is not null")
@@ -47,7 +56,7 @@ def scan_prices(spark, d):
 
 
 def calendar_index(spark, d):
-    return M.calendar(prices(spark, d)).select(day("date").alias("date"), "cal_idx")
+    return cal(spark, d).select(day("date").alias("date"), "cal_idx")
 
 
 def universe_union(spark, d):
@@ -65,7 +74,7 @@ def event_returns(spark, d):
 
 
 def _event_returns(spark, d):
-    return M.event_returns(events(spark, d).select("ticker", "earnings_date"), prices(spark, d), BENCHMARK, vix(spark, d), SPECIAL)
+    return M.event_returns(events(spark, d).select("ticker", "earnings_date"), prices(spark, d), cal(spark, d), BENCHMARK, vix(spark, d), SPECIAL)
 
 
 def robust_event_summary(spark, d):
@@ -81,10 +90,9 @@ def describe_returns(spark, d):
 
 
 def trailing_returns(spark, d):
-    p = prices(spark, d)
-    cal = M.calendar(p)
-    e = M.entries(events(spark, d).select("ticker", "earnings_date"), "earnings_date", cal)
-    out = M.event_window_returns(e, ["ticker", "earnings_date"], p.join(F.broadcast(cal), "date"), (5, 20), forward=False)
+    days = cal(spark, d)
+    e = M.entries(events(spark, d).select("ticker", "earnings_date"), "earnings_date", days)
+    out = M.event_window_returns(e, ["ticker", "earnings_date"], prices(spark, d), days, (5, 20), forward=False)
     return out.select("ticker", day("earnings_date").alias("earnings_date"), r6("r5", "mom_5d"), r6("r20", "mom_20d"))
 
 
@@ -119,7 +127,7 @@ def asof_unmatched_fallback(spark, d):
 
 def asof_backward_10d(spark, d):
     """Trailing volatility, one row late, attached to events no more than 10 days after it."""
-    x = M.daily_returns(M.on_calendar(prices(spark, d)))
+    x = M.daily_returns(on_cal(spark, d))
     x = x.select("ticker", F.col("date").alias("t"), M.rolling("r", F.stddev_samp("r"), 60, 30, 1).alias("vol"))
     e = events(spark, d).select("ticker", F.col("earnings_date").alias("t"))
     return asof_backward(e, x.filter("vol is not null"), ["ticker"], "t", ["vol"], 10).select("ticker", day("t").alias("earnings_date"), r6("vol"))
@@ -150,22 +158,22 @@ def surprise_streak(spark, d):
 
 
 def momentum_features(spark, d):
-    x = M.momentum_features(M.on_calendar(prices(spark, d)), BENCHMARK)
+    x = M.momentum_features(on_cal(spark, d), BENCHMARK)
     cols = [*M.BASE, "mom_12_1_va", "mom_6_1_va", "idio_mom_va", "rev_5d_va"]
     return x.select("ticker", day("date").alias("date"), *[r6(c) for c in cols])
 
 
 def liquidity_feats(spark, d):
-    return M.liquidity(M.on_calendar(prices(spark, d))).select("ticker", day("date").alias("date"), r6("turn_trend"), r6("log_adv"))
+    return M.liquidity(on_cal(spark, d)).select("ticker", day("date").alias("date"), r6("turn_trend"), r6("log_adv"))
 
 
 def dma200(spark, d):
-    x = M.on_calendar(prices(spark, d))
-    return x.select("ticker", day("date").alias("date"), r6(M.rolling("close", F.avg("close"), 200, 200), "dma"))
+    x = on_cal(spark, d)
+    return x.select("ticker", day("date").alias("date"), r6(rolling_avg("close", "ticker", "cal_idx", 200, 200), "dma"))
 
 
 def panel(spark, d):
-    return M.composite(M.momentum_panel(prices(spark, d), BENCHMARK, sector()))
+    return M.composite(M.momentum_panel(prices(spark, d), cal(spark, d), BENCHMARK, sector()))
 
 
 def momentum_panel(spark, d):

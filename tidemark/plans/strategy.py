@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import rolling_std
 from ..operators import ensemble as E
 from ..operators import evaluate as V
 from ..operators import market as M
 from ..operators import portfolio as P
 from ..operators import regime as R
+from ..runtime import store
 from ..sources.tables import day, lowered, number, read, ticker
-from .market import BENCHMARK, panel, prices, r6, vix
+from .market import BENCHMARK, cal, panel, prices, r6, sector, vix
 
 CUTOFFS = (0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50)
+STRESS = [("2022 bear market", "2022-01-01", "2022-10-15"), ("2023 first half", "2023-01-01", "2023-06-30"), ("2024 summer", "2024-07-15", "2024-08-31"), ("2018 last quarter", "2018-10-01", "2018-12-31")]
+AS_OF = "2024-06-03"
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -24,65 +28,92 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     return x.filter("date is not null").withColumn("month", F.trunc("date", "MM"))
 
 
-def _panel(spark, d):
-    return M.on_calendar(prices(spark, d))
+def _stored_prices(spark, d):
+    """Prices that several parts of one query read, cleaned once."""
+    return store(prices(spark, d), "prices").df
 
 
 def signal_breadth(spark, d):
-    return _breadth(spark, d, 200)
+    x = R.breadth(prices(spark, d), [BENCHMARK])
+    return x.select(day("date").alias("date"), r6("share"), R.breadth_signal(F.col("share")).alias("signal"))
 
 
-def signal_breadth_150(spark, d):
-    return _breadth(spark, d, 150)
+def _regime(spark, d, p=None):
+    return R.regime(p if p is not None else _stored_prices(spark, d), BENCHMARK, vix(spark, d))
 
 
-def _breadth(spark, d, least):
-    x = R.breadth(_panel(spark, d), least=least)
-    return x.select("cal_idx", r6("share"), R.breadth_signal(F.col("share")).alias("signal"))
+def regime_gate(spark, d):
+    return _regime(spark, d).select(day("date").alias("date"), r6("vix_close"), "vix", "spy", "breadth", "credit", "composite", "multiplier")
 
 
-def regime_gate(spark, d):
-    x = R.regime(_panel(spark, d), BENCHMARK, vix(spark, d))
+def regime_credit(spark, d):
+    """The gate with a credit pair: the least and the greatest ticker that stand for a risky and a safe bond fund."""
+    p = _stored_prices(spark, d)
+    a, b = p.filter(F.col("ticker") != BENCHMARK).agg(F.min("ticker"), F.max("ticker")).first()
+    x = R.regime(p, BENCHMARK, vix(spark, d), R.credit_ratio(p, a, b))
     return x.select(day("date").alias("date"), "vix", "spy", "breadth", "credit", "composite", "multiplier")
 
 
 def regime_summary(spark, d):
-    x = R.regime(_panel(spark, d), BENCHMARK, vix(spark, d), least=150)
-    return x.groupBy("multiplier").agg(F.count("*").alias("days"), day(F.min("date")).alias("first"), day(F.max("date")).alias("last"), r6(F.avg("vix_close"), "vix"))
+    x = _regime(spark, d).agg(F.count("*").alias("days"), day(F.min("date")).alias("first"), day(F.max("date")).alias("last"), *R.occupancy())
+    return x.select("days", "first", "last", r6("risk_on_pct"), r6("caution_pct"), r6("risk_off_pct"))
+
+
+def regime_stress(spark, d):
+    x = R.stress_windows(_regime(spark, d), STRESS)
+    return x.select("label", "days", *[r6(c) for c in ("mean_multiplier", "mean_vix", "risk_on_pct", "caution_pct", "risk_off_pct")])
 
 
 def regime_forward(spark, d):
-    p = _panel(spark, d)
-    x = R.forward_by_regime(R.regime(p, BENCHMARK, vix(spark, d), least=150), p, BENCHMARK)
-    return x.select("multiplier", "days", r6("fwd_21"), r6("fwd_63"))
+    p = _stored_prices(spark, d)
+    return R.forward_by_regime(_regime(spark, d, p), p, BENCHMARK).select("multiplier", "days", r6("fwd_21"), r6("fwd_63"))
 
 
 def _decay(spark, d):
-    cal = M.calendar(prices(spark, d))
+    days = cal(spark, d)
     s = predictions(spark, d).groupBy("ticker", F.col("date").alias("event_date")).agg(F.max("score").alias("score"))
-    entry = M.entries(s.select("event_date").distinct(), "event_date", cal)
-    return E.event_decay(s, cal, entry)
+    entry = M.entries(s.select("event_date").distinct(), "event_date", days)
+    return E.event_decay(s, days, entry)
 
 
 def event_decay(spark, d):
     return _decay(spark, d).select(day("date").alias("date"), "ticker", r6("eca_z"))
 
 
-def _momentum_daily(spark, d):
-    p = prices(spark, d)
-    return E.momentum_daily(panel(spark, d), p, M.calendar(p))
+def _momentum_daily(spark, d, p):
+    return E.momentum_daily(M.composite(M.momentum_panel(p, cal(spark, d), BENCHMARK, sector())), p)
 
 
 def momentum_daily(spark, d):
-    return _momentum_daily(spark, d).select(day("date").alias("date"), "ticker", r6("momentum_z"))
+    return _momentum_daily(spark, d, _stored_prices(spark, d)).select(day("date").alias("date"), "ticker", r6("momentum_z"))
 
 
-def ensemble_scores(spark, d):
-    reg = R.regime(_panel(spark, d), BENCHMARK, vix(spark, d))
-    x = E.blend(_momentum_daily(spark, d), _decay(spark, d), reg)
+def _ensemble(spark, d, **how):
+    p = _stored_prices(spark, d)
+    return E.blend(_momentum_daily(spark, d, p), _decay(spark, d), _regime(spark, d, p), **how)
+
+
+def _scores(x):
     return x.select(day("date").alias("date"), "ticker", r6("momentum_z"), r6("eca_z"), "regime", r6("ensemble_z"))
 
 
+def ensemble_scores(spark, d):
+    return _scores(_ensemble(spark, d))
+
+
+def ensemble_gated(spark, d):
+    return _scores(_ensemble(spark, d, gate=True))
+
+
+def ensemble_as_of(spark, d):
+    return _scores(_ensemble(spark, d, as_of=AS_OF))
+
+
+def ensemble_summary(spark, d):
+    x = E.summary(_ensemble(spark, d))
+    return x.select("n_dates", "n_tickers", r6("pct_momentum_active"), r6("pct_eca_active"), r6("avg_regime"), day("first").alias("first"), day("last").alias("last"))
+
+
 def _book(spark, d):
     return panel(spark, d).select("date", "ticker", "sector", F.col("composite").alias("score"), F.col("vol_60d").alias("vol"))
 
@@ -95,47 +126,87 @@ def size_deciles(spark, d):
     return P.size_deciles(_book(spark, d)).select(day("date").alias("date"), "ticker", r6("weight"))
 
 
+def size_deciles_neutral(spark, d):
+    """Scores less their sector's mean before the tails are taken."""
+    return P.size_deciles(_book(spark, d), sector_neutral=True).select(day("date").alias("date"), "ticker", r6("weight"))
+
+
+def size_book(spark, d):
+    """Each rebalance sized with the volatility of the 60 rows before it."""
+    p, days = _stored_prices(spark, d), cal(spark, d)
+    x = M.composite(M.momentum_panel(p, days, BENCHMARK, sector())).select("date", "ticker", "sector", F.col("composite").alias("score"))
+    r = M.daily_returns(M.on_calendar(p, days))
+    vol = r.select("date", "ticker", rolling_std("r", "ticker", "cal_idx", 60, 30, 1).alias("vol"))
+    return P.size_one_date(x.join(vol, ["date", "ticker"], "left")).select(day("date").alias("date"), "ticker", r6("weight"))
+
+
 def book_stats(spark, d):
     x = P.book_stats(P.size_one_date(_book(spark, d)))
     return x.select(day("date").alias("date"), "n", *[r6(c) for c in ("gross", "net", "max_abs", "effective_n")])
 
 
 def backtest_trades(spark, d):
+    x = P.trades(predictions(spark, d), "date")
+    return x.select("ticker", "quarter", "year", day("date").alias("date"), "n_names", "side", r6("weight"), r6("gross"), r6("net"), r6("ew"))
+
+
+def trades_by_month(spark, d):
+    """The same with the names of a month as one group, which has more of them than one event date."""
     x = P.trades(predictions(spark, d), "month")
-    return x.select("ticker", "quarter", "year", day("month").alias("month"), "side", r6("weight"), r6("gross"), r6("net"))
+    return x.select("ticker", "quarter", "year", day("month").alias("month"), "n_names", "side", r6("weight"), r6("gross"), r6("net"), r6("ew"))
 
 
 def _pnl(spark, d):
-    return P.trades(predictions(spark, d), "month").groupBy("month").agg(F.count("*").alias("n"), F.sum("gross").alias("gross"), F.sum("net").alias("net"))
+    """Entry-date returns, with the benchmark's over the same rows, 0 where it has none."""
+    x = P.event_pnl(P.trades(predictions(spark, d), "date"), ["date"])
+    days = cal(spark, d)
+    e = M.entries(x.withColumn("ticker", F.lit(BENCHMARK)).select("ticker", "date"), "date", days)
+    b = M.event_window_returns(e, ["date"], prices(spark, d).filter(F.col("ticker") == BENCHMARK), days, (30,))
+    return x.join(b, "date", "left").withColumn("spy", F.coalesce("r30", F.lit(0.0))).drop("r30")
 
 
 def event_pnl(spark, d):
-    return _pnl(spark, d).select(day("month").alias("month"), "n", r6("gross"), r6("net"))
+    return _pnl(spark, d).select(day("date").alias("date"), "n", "n_long", "n_short", *[r6(c) for c in ("gross", "net", "ew", "spy", "long_only", "short_raw")])
+
+
+SERIES = ("gross", "net", "ew", "spy", "long_only")
 
 
 def portfolio_metrics(spark, d):
-    x = _pnl(spark, d).select("month", F.explode(F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).alias("r")) for c in ("gross", "net")])).alias("x")).select("month", "x.*")
-    return P.metrics(x, ["series"], "month", "r", 252 / 30).select("series", "n", *[r6(c) for c in ("total", "cagr", "sharpe", "max_drawdown", "win_rate", "avg")])
+    each = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).alias("r")) for c in SERIES])
+    x = _pnl(spark, d).select("date", F.explode(each).alias("x")).select("date", "x.*")
+    return P.metrics(x, ["series"], "date", "r", 252 / 30).select("series", "n", *[r6(c) for c in ("total", "cagr", "sharpe", "max_drawdown", "win_rate", "avg")])
 
 
 def drawdown(spark, d):
-    x = P.drawdowns(_pnl(spark, d).withColumn("s", F.lit(1)), ["s"], "month", "net")
-    return x.select(day("month").alias("month"), r6("equity"), r6("drawdown"))
+    x = P.drawdowns(_pnl(spark, d).withColumn("s", F.lit(1)), ["s"], "date", "net")
+    return x.select(day("date").alias("date"), r6("equity"), r6("drawdown"))
 
 
 def rolling_sharpe(spark, d):
-    return P.rolling_sharpe(_pnl(spark, d), "month", "net", 6, 12.0).select(day("month").alias("month"), r6("rolling_sharpe"))
+    return P.rolling_sharpe(_pnl(spark, d), "date", "net", 252 / 30).select(day("date").alias("date"), r6("rolling_sharpe"))
 
 
 def cutoff_sensitivity(spark, d):
     x = predictions(spark, d).withColumn("cutoff", F.explode(F.array(*[F.lit(c) for c in CUTOFFS])))
-    x = P.trades(x, "month", F.col("cutoff")).groupBy("cutoff", "month").agg(F.sum("net").alias("net"))
-    return P.metrics(x, ["cutoff"], "month", "net", 252 / 30).select("cutoff", "n", r6("total"), r6("sharpe"), r6("max_drawdown"))
+    x = P.event_pnl(P.trades(x, "date", F.col("cutoff")), ["cutoff", "date"])
+    m = P.metrics(x, ["cutoff"], "date", "net", 252 / 30)
+    avg = x.groupBy("cutoff").agg((F.sum(F.col("n_long") + F.col("n_short")) / F.count("*")).alias("avg_positions"))
+    return m.join(avg, "cutoff").select("cutoff", "n", *[r6(c) for c in ("total", "sharpe", "win_rate", "avg_positions")])
 
 
 def leg_decomposition(spark, d):
-    x = P.trades(predictions(spark, d), "month")
-    return x.groupBy("side").agg(F.count("*").alias("n"), r6(F.avg("actual"), "mean_return"), r6(F.avg((F.col("gross") > 0).cast("double")), "hit_rate"))
+    """Means over dates of each leg's mean outcome, and how often the leg earned."""
+    x = _pnl(spark, d)
+    leg = lambda c, s: x.agg(F.lit(c).alias("leg"), F.count(c).alias("dates"), F.avg(c).alias("mean_return"), F.avg((F.col(c) * s > 0).cast("double")).alias("hit_rate"))
+    return leg("long_only", 1).unionByName(leg("short_raw", -1)).select("leg", "dates", r6("mean_return"), r6("hit_rate"))
+
+
+def monthly_long_short(spark, d):
+    """The composite's top less bottom decile at each rebalance, as published and net of costs."""
+    x = store(panel(spark, d).filter("composite is not null"), "scored").df
+    own, raw = P.long_short(x, "composite", "target"), P.long_short(x, "composite", "raw_target").select("date", F.col("gross").alias("raw_gross"), F.col("net").alias("raw_net"))
+    return own.join(raw, "date").select(day("date").alias("date"), *[r6(c) for c in ("gross", "net", "raw_gross", "raw_net")])
 
 
 def monthly_ic(spark, d):
@@ -189,4 +260,4 @@ def verdict(spark, d):
     return x.select(r6("mean_ic"), r6("t"), say.alias("verdict"))
 
 
-QUERIES = {f.__name__: f for f in (signal_breadth, signal_breadth_150, regime_gate, regime_summary, regime_forward, event_decay, momentum_daily, ensemble_scores, size_one_date, size_deciles, book_stats, backtest_trades, event_pnl, portfolio_metrics, drawdown, rolling_sharpe, cutoff_sensitivity, leg_decomposition, monthly_ic, ic_summary, ic_paired_t, decile_spread_qcut, decile_spread_pct, regression_quality, confusion, roc_auc, winsor_bounds, mi_ranking, verdict)}
+QUERIES = {f.__name__: f for f in (signal_breadth, regime_gate, regime_credit, regime_summary, regime_stress, regime_forward, event_decay, momentum_daily, ensemble_scores, ensemble_gated, ensemble_as_of, ensemble_summary, size_one_date, size_deciles, size_deciles_neutral, size_book, book_stats, backtest_trades, trades_by_month, event_pnl, portfolio_metrics, drawdown, rolling_sharpe, cutoff_sensitivity, leg_decomposition, monthly_long_short, monthly_ic, ic_summary, ic_paired_t, decile_spread_qcut, decile_spread_pct, regression_quality, confusion, roc_auc, winsor_bounds, mi_ranking, verdict)}
