@@ -13,94 +13,98 @@ Rows with a NULL key part or NULL valid day take no part. Empty input gives an e
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import store
-
 OPEN_DAY = 2932896  # 9999-12-31 in days since 1970
 OPEN_TS = "9999-12-31 00:00:00"
+OPEN_MICROS = OPEN_DAY * 86_400_000_000
 
 
 def _steps(valid: list[int], first: list[int]) -> tuple[list[int], list[int], list[int]]:
-    """Sweep over the valid days of one key, latest first.
+    """Sweep over the valid days of one key, latest first: place of the day, since when it is so, end of its interval.
 
     ``first`` is when each day was first recorded. The end of a day's interval is the nearest later day known at the
     record time in question, so it takes one step per later-recorded nearer day. ``stack`` holds later days, nearest
     last, each first recorded before all nearer ones; each day enters and leaves it once.
     """
-    day, since, end = [], [], []
+    at, since, end = [], [], []
     stack: list[tuple[int, int]] = []
-    for d, a in zip(reversed(valid), reversed(first)):
+    for i in range(len(valid) - 1, -1, -1):
+        d, a = valid[i], first[i]
         later: list[tuple[int, int]] = []
         while stack and stack[-1][1] > a:
             later.append(stack.pop())
-        day.append(d)
+        at.append(i)
         since.append(a)
         end.append(stack[-1][0] if stack else OPEN_DAY)
         for d2, a2 in reversed(later):  # farther ones were recorded earlier
-            day.append(d)
+            at.append(i)
             since.append(a2)
             end.append(d2)
         if stack and stack[-1][1] == a:
             stack.pop()
         stack.append((d, a))
-    return day, since, end
+    return at, since, end
 
 
 def _sweep(valid: pd.Series, first: pd.Series) -> pd.DataFrame:
-    rows = [_steps(v.tolist(), f.tolist()) for v, f in zip(valid, first)]
-    return pd.DataFrame({k: [r[i] for r in rows] for i, k in enumerate(("day", "since", "end"))})
-
-
-def _collapse(df: DataFrame, by: list, vals: str) -> DataFrame:
-    """Leave out assertions equal to the one recorded before them."""
-    w = W.partitionBy(*by).orderBy("recorded")
-    before = F.lag(F.struct(F.col(vals).alias("v"))).over(w)
-    return df.withColumn("_b", before).filter(F.col("_b").isNull() | ~F.col("_b.v").eqNullSafe(F.col(vals))).drop("_b")
-
-
-def bitemporal_ledger(present: DataFrame, absent: DataFrame | None, keys: list[str], valid: str, recorded: str, values: list[str]) -> DataFrame:
+    """Steps of each key with ``upto``, when the next step of the same day begins."""
+    out: dict[str, list] = {k: [] for k in ("at", "since", "upto", "end")}
+    for v, f in zip(valid, first):
+        at, since, end = _steps(v.tolist(), f.tolist())
+        same = [i + 1 < len(at) and at[i + 1] == at[i] for i in range(len(at))]  # steps of a day come in order of time
+        out["at"].append(at)
+        out["since"].append(since)
+        out["upto"].append([since[i + 1] if same[i] else OPEN_MICROS for i in range(len(at))])
+        out["end"].append(end)
+    return pd.DataFrame(out)
+
+
+def bitemporal_ledger(present: DataFrame, absent: DataFrame | None, keys: list[str], valid: str, recorded: str, values: list[str], withdrawn: DataFrame | None = None) -> DataFrame:
     """Ledger rows: keys, ``valid_from``, ``valid_to`` (dates, end exclusive, 9999-12-31 while open), ``recorded_from``,
     ``recorded_to`` (timestamps, likewise), ``present``, values.
 
     ``absent`` rows say that a key was looked for and not there; they count only where nothing was recorded before.
-    Repeats are merged by an aggregate first and then, per record day, by a window, so a key that is delivered over
-    and over is reduced before its revisions meet in one place. The sweep sees one entry per key and valid day.
+    ``withdrawn`` rows take back what was recorded for their key and valid day; they count whenever they come.
+
+    Assertions are first reduced per key, valid day and record day, with copies merged before the shuffle, so a key
+    that is delivered over and over is small before its history meets in one place. All that follows, chain, sweep
+    and what callers do by key, refines one clustering by the keys. The sweep sees one entry per key and valid day.
     """
-    vals = F.struct(F.lit(True).alias("present"), *[F.col(v).alias(v) for v in values])
-    base = present.select(*keys, F.col(valid).alias("_valid"), F.col(recorded).alias("recorded"), vals.alias("_v"))
-    if absent is not None:
-        types = dict(present.dtypes)
-        gone = F.struct(F.lit(False).alias("present"), *[F.lit(None).cast(types[v]).alias(v) for v in values])
-        base = base.unionByName(absent.select(*keys, F.col(valid).alias("_valid"), F.col(recorded).alias("recorded"), gone.alias("_v")))
-    base = base.dropna(subset=[*keys, "_valid"])
-    base = base.withColumn("recorded", F.coalesce("recorded", F.lit("1970-01-01").cast("timestamp")))
+    types = dict(present.dtypes)
+    none = [F.lit(None).cast(types[v]).alias(v) for v in values]
+    kinds = [(present, F.lit(True), F.lit(False), [F.col(v).alias(v) for v in values]), (absent, F.lit(False), F.lit(True), none), (withdrawn, F.lit(False), F.lit(False), none)]
+    parts = [df.select(*keys, F.col(valid).alias("_valid"), F.unix_micros(F.coalesce(F.col(recorded).cast("timestamp"), F.lit(0).cast("timestamp"))).alias("r"), F.struct(here.alias("present"), *vals).alias("v"), weak.alias("weak")) for df, here, weak, vals in kinds if df is not None]
+    base = reduce(DataFrame.unionByName, parts).dropna(subset=[*keys, "_valid"])
+    # Of one instant the greatest assertion counts, present before absent; then those equal to the one before go.
+    day = F.expr(f"r div {86_400_000_000}")
+    told = base.groupBy(*keys, "_valid", day.alias("_day")).agg(F.sort_array(F.collect_set(F.struct("r", "v", "weak"))).alias("_a"))
+    last = F.filter("_a", lambda x, i: ~F.coalesce(F.get("_a", i + 1)["r"] == x["r"], F.lit(False)))
+    told = told.select(*keys, "_valid", F.when(F.size("_a") == 1, F.col("_a")).otherwise(last).alias("_a"))
+    fresh = F.filter("_a", lambda x, i: (i == 0) | ~F.get("_a", i - 1)["v"].eqNullSafe(x["v"]))
+    told = told.select(*keys, "_valid", F.explode(F.when(F.size("_a") == 1, F.col("_a")).otherwise(fresh)).alias("_x"))
+
+    rows = told.select(*keys, "_valid", "_x.*").repartition(*keys)
     cell = [*keys, "_valid"]
-    base = base.groupBy(*cell, "recorded").agg(F.max("_v").alias("_v"))
-    base = _collapse(base, [*cell, F.to_date("recorded")], "_v")
-    w = W.partitionBy(*cell).orderBy("recorded")
-    chain = base.withColumn("_b", F.lag("_v").over(w))
-    chain = chain.filter(F.col("_b").isNull() | (~F.col("_b").eqNullSafe(F.col("_v")) & F.col("_v.present"))).drop("_b")
-    chain = chain.withColumn("_until", F.coalesce(F.lead("recorded").over(w), F.lit(OPEN_TS).cast("timestamp")))
-    chain = chain.withColumn("_first", F.min("recorded").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    chain = store(chain, "assertions").df
-
-    firsts = chain.groupBy(*cell).agg(F.min("_first").alias("_first"))
-    arr = firsts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.unix_date("_valid").alias("d"), F.unix_micros(F.col("_first").cast("timestamp")).alias("a")))).alias("_s"))
-    sweep = F.pandas_udf(_sweep, "day array<int>, since array<bigint>, end array<int>")
-    steps = arr.select(*keys, sweep(F.col("_s.d"), F.col("_s.a")).alias("_p"))
-    steps = steps.select(*keys, F.explode(F.arrays_zip("_p.day", "_p.since", "_p.end")).alias("_p"))
-    steps = steps.select(*keys, F.date_from_unix_date("_p.day").alias("_valid"), F.timestamp_micros("_p.since").alias("_since"), F.date_from_unix_date("_p.end").alias("valid_to"))
-    ws = W.partitionBy(*cell).orderBy("_since")
-    steps = steps.withColumn("_upto", F.coalesce(F.lead("_since").over(ws), F.lit(OPEN_TS).cast("timestamp")))
-
-    out = chain.withColumn("recorded", F.col("recorded").cast("timestamp")).withColumn("_until", F.col("_until").cast("timestamp")).join(steps, cell)
-    out = out.withColumn("recorded_from", F.greatest("recorded", "_since")).withColumn("recorded_to", F.least("_until", "_upto"))
-    return out.filter("recorded_from < recorded_to").select(*keys, F.col("_valid").alias("valid_from"), "valid_to", "recorded_from", "recorded_to", F.col("_v.present").alias("present"), *[F.col("_v")[v].alias(v) for v in values])
+    w = W.partitionBy(*cell).orderBy("r")
+    rows = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1 or not weak").drop("_n", "weak")
+    rows = rows.withColumn("_b", F.lag(F.struct("v")).over(w)).filter(F.col("_b").isNull() | ~F.col("_b.v").eqNullSafe(F.col("v"))).drop("_b")
+    rows = rows.withColumn("until", F.coalesce(F.lead("r").over(w), F.lit(OPEN_MICROS)))
+    cells = rows.groupBy(*cell).agg(F.min("r").alias("first"), F.collect_list(F.struct("r", "until", "v")).alias("chain"))
+    history = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.unix_date("_valid").alias("d"), "first", "chain"))).alias("_c"))
+    sweep = F.pandas_udf(_sweep, "at array<int>, since array<bigint>, upto array<bigint>, end array<int>")
+    history = history.withColumn("_p", sweep(F.col("_c.d"), F.col("_c.first")))
+    # Each step takes its day along, so a row never holds the whole history of its key.
+    steps = F.transform(F.arrays_zip("_p.at", "_p.since", "_p.upto", "_p.end"), lambda p: F.struct(F.get("_c", p["at"]).alias("c"), p["since"].alias("since"), p["upto"].alias("upto"), p["end"].alias("end")))
+    out = history.select(*keys, F.explode(steps).alias("_s")).select(*keys, "_s.since", "_s.upto", "_s.end", F.col("_s.c.d").alias("d"), F.explode("_s.c.chain").alias("_x"))
+    stamp = lambda c: F.timestamp_micros(c)
+    out = out.select(*keys, F.date_from_unix_date("d").alias("valid_from"), F.date_from_unix_date("end").alias("valid_to"), stamp(F.greatest("since", "_x.r")).alias("recorded_from"), stamp(F.least("upto", "_x.until")).alias("recorded_to"), F.col("_x.v.present").alias("present"), *[F.col("_x.v")[v].alias(v) for v in values])
+    return out.filter("recorded_from < recorded_to")
 
 
 def believed(ledger: DataFrame, at: Column | None = None) -> DataFrame:
@@ -127,7 +131,7 @@ def versions(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 def ledger_steps_reference(valid: list[int], first: list[int]) -> set[tuple[int, int, int]]:
     """The same steps by trying every record time; for tests."""
     out = set()
-    for d, a in zip(valid, first):
+    for i, (d, a) in enumerate(zip(valid, first)):
         ends = []
         for t in sorted({x for x in first if x >= a}):
             known = sorted(v for v, f in zip(valid, first) if f <= t)
@@ -135,5 +139,5 @@ def ledger_steps_reference(valid: list[int], first: list[int]) -> set[tuple[int,
             e = known[k] if k < len(known) else OPEN_DAY
             if not ends or ends[-1][1] != e:
                 ends.append((t, e))
-        out |= {(d, t, e) for t, e in ends}
+        out |= {(i, t, e) for t, e in ends}
     return out
