@@ -59,6 +59,16 @@ def test_late_update_splits_without_overwriting(spark):
     assert led.count() == 5
 
 
+def test_withdrawal_of_a_recorded_day(spark):
+    rows = spark.createDataFrame([("a", D(0), TS(0), 1.0), ("a", D(0), TS(5), 1.0), ("a", D(0), TS(9), 1.0)], "k string, d date, t timestamp, v double")
+    gone = spark.createDataFrame([("a", D(0), TS(7))], "k string, d date, t timestamp")
+    led = bitemporal_ledger(rows, None, ["k"], "d", "t", ["v"], withdrawn=gone)
+    got = sorted((r.recorded_from, r.recorded_to, r.present, r.v) for r in led.collect())
+    assert got == [(TS(0), TS(7), True, 1.0), (TS(7), TS(9), False, None), (TS(9), dt.datetime(9999, 12, 31), True, 1.0)]
+    weak = bitemporal_ledger(rows, gone, ["k"], "d", "t", ["v"])  # an absence after a record says nothing
+    assert [(r.recorded_from, r.present) for r in weak.collect()] == [(TS(0), True)]
+
+
 def test_versions_missing_values_absence_and_empty(spark):
     nan = float("nan")
     led = _ledger(spark, [("a", D(0), TS(0), None, "x", None), ("a", D(1), TS(1), nan, "y", None), ("a", D(3), TS(3), 2.0, "", True), (None, D(0), TS(0), 1.0, "", None), ("a", None, TS(0), 1.0, "", None)], [("a", D(2), TS(3)), ("b", D(2), TS(3))])
@@ -84,7 +94,15 @@ def test_changes_against_brute_force(spark):
     assert {(r.s, r.k, r.change) for r in got.collect()} == want and got.count() == len(want)
     assert snapshot_changes(df.limit(0), days, "s", ["k"], ["v"], "t").count() == 0
     assert snapshot_changes(df, days.limit(0), "s", ["k"], ["v"], "t").count() == 0
-    assert tree_depth(0) == 1 and tree_depth(16 * 16**3) == 3
+    assert tree_depth(0) == 1 and tree_depth(16 * 16**3, 16) == 3
+
+
+def test_changes_see_values_swapped_with_null(spark):
+    nan = float("nan")
+    rows = [(D(0), "a", None, 5.0, TS(0)), (D(1), "a", 5.0, None, TS(1)), (D(0), "b", None, 1.0, TS(0)), (D(1), "b", nan, 1.0, TS(1)), (D(0), "c", 2.0, 2.0, TS(0)), (D(1), "c", None, None, TS(1))]
+    df = spark.createDataFrame(rows, "s date, k string, v double, w double, t timestamp")
+    got = snapshot_changes(df, df.select("s"), "s", ["k"], ["v", "w"], "t")
+    assert {(r.k, r.change) for r in got.collect()} == {("a", "changed"), ("c", "changed")}
 
 
 def test_as_known_against_brute_force(spark):

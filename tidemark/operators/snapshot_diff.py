@@ -1,12 +1,13 @@
 """What changed between consecutive full snapshots, by Merkle trees over hash ranges of the keys.
 
 Each snapshot's keys fall into ``fanout ** depth`` leaves by a hash of the key. A leaf's digest covers its rows in any
-order; a node's digest covers its children's. Two snapshots are compared from the root down, and only rows of leaves
-whose digests differ are compared themselves.
+order; a node's digest covers those of the leaves below it. Digests are combined by exclusive or of two 64-bit hashes,
+so all levels of a tree come from one aggregate over the node prefixes, which merges before the shuffle. Two snapshots
+are compared from the root down, and only rows of leaves whose digests differ are compared themselves.
 
-Defined results: NULL and NaN are one missing value, equal to itself. Of repeated rows of a key in a snapshot the
-latest delivery counts. Snapshots with no rows at all count as empty; the first has no differences. Rows with a NULL
-snapshot or key part take no part.
+Defined results: NULL and NaN are one missing value, equal to itself; a value that moves to another column is a change.
+Of repeated rows of a key in a snapshot the latest delivery counts. Snapshots with no rows at all count as empty; the
+first has no differences. Rows with a NULL snapshot or key part take no part.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import latest, store
+from ..runtime import Stored, latest, store
 
-FANOUT = 16
+FANOUT = 64
 ROWS_PER_LEAF = 16
 
 
@@ -27,31 +28,42 @@ def tree_depth(rows_per_snapshot: int, fanout: int = FANOUT, per_leaf: int = ROW
     return max(1, math.ceil(math.log(max(1, rows_per_snapshot / per_leaf), fanout)))
 
 
-def merkle_levels(rows: DataFrame, snap: str, depth: int, fanout: int = FANOUT) -> list[DataFrame]:
-    """Digests per snapshot and node, root first. ``rows`` has ``snap``, ``leaf``, ``h1``, ``h2`` per row.
+def _marked(values: list[str]) -> list:
+    """Each value beside a mark of whether it is missing, as hashing skips NULLs and would lose their place."""
+    return [e for v in values for e in (F.col(v).isNull(), F.col(v))]
 
-    A leaf combines its rows with xor, which needs no order and merges before the shuffle, beside their number.
+
+def snapshot_trees(rows: DataFrame, snap: str, keys: list[str], values: list[str], depth: int, fanout: int = FANOUT) -> Stored:
+    """(``snap``, ``level``, ``node``, ``d1``, ``d2``) of every node, the root at level 0; one row per key in ``rows``.
+
+    The table may be kept: trees of earlier deliveries with the same depth and fanout are compared as they are.
     """
-    leaves = rows.groupBy(snap, F.col("leaf").alias("node")).agg(F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"), F.count("*").alias("n"))
-    level = store(leaves.select(snap, "node", F.xxhash64("x1", "x2", "n").alias("digest")), "leaf-digests").df
-    levels = [level]
-    for _ in range(depth):
-        up = level.withColumn("up", F.expr(f"node div {fanout}"))
-        up = up.groupBy(snap, F.col("up").alias("node")).agg(F.sort_array(F.collect_list(F.struct("node", "digest"))).alias("kids"))
-        level = up.select(snap, "node", F.xxhash64("kids").alias("digest"))
-        levels.append(level)
-    return levels[::-1]
-
-
-def _differing(level: DataFrame, pairs: DataFrame, snap: str, within: DataFrame | None, fanout: int) -> DataFrame:
-    """(pair, node) of one level whose digests differ, among children of ``within``."""
-    cur = level.join(pairs, level[snap] == pairs["cur"]).select(F.col("cur").alias("pair"), "node", F.col("digest").alias("c"), F.lit(None).cast("bigint").alias("p"))
-    prev = level.join(pairs, level[snap] == pairs["prev"]).select(F.col("cur").alias("pair"), "node", F.lit(None).cast("bigint").alias("c"), F.col("digest").alias("p"))
-    both = cur.unionByName(prev)
-    if within is not None:
-        both = both.withColumn("up", F.expr(f"node div {fanout}")).join(within.select(F.col("pair"), F.col("node").alias("up")), ["pair", "up"], "left_semi")
-    both = both.groupBy("pair", "node").agg(F.max("c").alias("c"), F.max("p").alias("p"))
-    return both.filter(~F.col("c").eqNullSafe(F.col("p"))).select("pair", "node")
+    leaf = F.pmod(F.xxhash64(*keys), F.lit(fanout**depth))
+    hashed = rows.select(snap, leaf.alias("leaf"), F.xxhash64(*keys, *_marked(values)).alias("h1"), F.xxhash64(F.lit(7), *keys, *_marked(values)).alias("h2"))
+    leaves = hashed.groupBy(snap, "leaf").agg(F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"), F.count("*").alias("n"))
+    leaves = leaves.select(snap, "leaf", F.xxhash64("leaf", "x1", "x2", "n").alias("d1"), F.xxhash64(F.lit(7), "leaf", "x1", "x2", "n").alias("d2"))
+    over = F.array(*[F.struct(F.lit(k).alias("level"), F.expr(f"leaf div {fanout ** (depth - k)}").alias("node")) for k in range(depth + 1)])
+    nodes = leaves.select(snap, "d1", "d2", F.explode(over).alias("x")).select(snap, "x.*", "d1", "d2")
+    return store(nodes.groupBy(snap, "level", "node").agg(F.bit_xor("d1").alias("d1"), F.bit_xor("d2").alias("d2")), "trees")
+
+
+def _sides(df: DataFrame, snap: str, pairs: DataFrame) -> DataFrame:
+    """Each row once as the later (``is_cur``) and once as the earlier side of a pair of deliveries."""
+    both = pairs.select(F.col("cur").alias("_snap"), F.lit(True).alias("is_cur"), F.col("cur").alias("pair")).unionByName(pairs.select(F.col("prev").alias("_snap"), F.lit(False).alias("is_cur"), F.col("cur").alias("pair")))
+    return df.join(F.broadcast(both), df[snap] == F.col("_snap")).drop("_snap")  # two rows per delivery
+
+
+def differing_leaves(trees: DataFrame, snap: str, pairs: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
+    """(``pair``, ``leaf``) whose digests differ, found from the root down: of each level only children of differing nodes."""
+    found = None
+    for k in range(depth + 1):
+        x = _sides(trees.filter(F.col("level") == k), snap, pairs).withColumn("up", F.expr(f"node div {fanout}"))
+        if found is not None:
+            x = x.join(found, ["pair", "up"], "left_semi")
+        side = lambda c, d: F.max(F.when(F.col("is_cur") == c, F.struct("d1", "d2"))).alias(d)
+        x = x.groupBy("pair", "up", "node").agg(side(True, "c"), side(False, "p")).filter(~F.col("c").eqNullSafe(F.col("p")))
+        found = x.select("pair", F.col("node").alias("up"))
+    return found.withColumnRenamed("up", "leaf")
 
 
 def snapshot_changes(rows: DataFrame, snapshots: DataFrame, snap: str, keys: list[str], values: list[str], loaded: str, fanout: int = FANOUT) -> DataFrame:
@@ -64,25 +76,18 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, snap: str, keys: lis
     pairs = days.select(F.col(snap).alias("cur"), F.lag(snap).over(W.orderBy(snap)).alias("prev")).dropna()
     pairs = store(pairs, "pairs").df
 
-    narrow = rows.select(snap, *keys, *values, loaded).dropna(subset=[snap, *keys])
-    narrow = latest(narrow, [snap, *keys], loaded).select(snap, *keys, *values)
-    narrow = narrow.withColumn("_val", F.struct(*values)).drop(*values)
-    kept = store(narrow, "snapshot-rows").df
+    kinds = dict(rows.dtypes)
+    narrow = rows.select(snap, *keys, *[F.when(~F.isnan(v), F.col(v)).alias(v) if kinds[v] in ("double", "float") else v for v in values], loaded).dropna(subset=[snap, *keys])
+    kept = store(latest(narrow, [snap, *keys], loaded).drop(loaded), "snapshot-rows").df
     most = kept.groupBy(snap).count().agg(F.max("count")).first()[0] or 0
     depth = tree_depth(most, fanout)
-    leaves = fanout**depth
-
-    keyed = kept.withColumn("leaf", F.pmod(F.xxhash64(*keys), F.lit(leaves)))
-    hashed = keyed.select(snap, "leaf", F.xxhash64(*keys, "_val").alias("h1"), F.xxhash64(F.lit(7), *keys, "_val").alias("h2"))
-    levels = merkle_levels(hashed, snap, depth, fanout)
-    differing = None
-    for level in levels:
-        differing = _differing(level, pairs, snap, differing, fanout)
-    differing = store(differing.withColumnRenamed("node", "leaf"), "leaves")
-
-    after = keyed.join(F.broadcast(pairs), keyed[snap] == pairs["cur"]).select(F.col("cur").alias("pair"), "leaf", *keys, F.struct("_val").alias("c"), F.lit(None).cast(f"struct<_val:{dict(kept.dtypes)['_val']}>").alias("p"))
-    before = keyed.join(F.broadcast(pairs), keyed[snap] == pairs["prev"]).select(F.col("cur").alias("pair"), "leaf", *keys, F.lit(None).cast(f"struct<_val:{dict(kept.dtypes)['_val']}>").alias("c"), F.struct("_val").alias("p"))
-    sides = after.unionByName(before).join(differing.hinted(), ["pair", "leaf"], "left_semi")
-    both = sides.groupBy("pair", *keys).agg(F.max("c").alias("c"), F.max("p").alias("p"))
+    trees = snapshot_trees(kept, snap, keys, values, depth, fanout).df
+    differing = store(differing_leaves(trees, snap, pairs, depth, fanout), "leaves")
+
+    leaf = F.pmod(F.xxhash64(*keys), F.lit(fanout**depth))
+    sides = _sides(kept.select(snap, *keys, leaf.alias("leaf"), F.struct(*values).alias("_val")), snap, pairs)
+    sides = sides.join(differing.hinted(), ["pair", "leaf"], "left_semi")
+    side = lambda c, d: F.max(F.when(F.col("is_cur") == c, F.struct("_val"))).alias(d)
+    both = sides.groupBy("pair", "leaf", *keys).agg(side(True, "c"), side(False, "p"))
     change = F.when(F.col("p").isNull(), "added").when(F.col("c").isNull(), "removed").when(~F.col("c").eqNullSafe(F.col("p")), "changed")
     return both.select(F.col("pair").alias(snap), *keys, change.alias("change")).filter("change is not null")
