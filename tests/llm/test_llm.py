@@ -57,6 +57,27 @@ def test_repeated_lines_share_and_long_sources(spark):
     assert {(r.id, r.line_no) for r in got.collect()} == {(i, n) for i, _, t in docs for n, x in enumerate(t.split("\n"), 1) if norm(x) in sure}
 
 
+@pytest.mark.parametrize("tracked,map_size", [(12288, 16384), (96, 128), (12, 16)])
+def test_long_sources_keep_to_the_sketches(spark, tracked, map_size):
+    rnd = random.Random(5)
+    docs = [(i, "abc"[i % 5 % 3], "\n".join([rnd.choice(["share this", "all rights", "follow us", "x"])] + [f"own {chr(97 + i % 26)}{chr(97 + i // 26)} {chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(90)])) for i in range(150)]
+    df = spark.createDataFrame(docs, "id int, src string, text string")
+    pairs, sure = RP.line_sets(df, ["id"], "src", "text", tracked=tracked, map_size=map_size)
+    assert sure.df.count() == len({(s, t.split("\n")[0]) for _, s, t in docs})
+    if map_size > 16:  # what was counted is what the sketches named, far from all lines
+        assert pairs.count() < 0.1 * 150 * 91
+
+
+def test_removed_lines_without_a_broadcast(spark):
+    docs = [(i, "abc"[i % 3], f"Share this\nown {chr(97 + i)}\n\nshare  THIS\n{'Z' * (i % 3)}") for i in range(20)] + [(20, None, "Share this\nx"), (21, "a", None), (22, "a", "")]
+    df = spark.createDataFrame(docs, "id int, src string, text string")
+    _, sure = RP.line_sets(df, ["id"], "src", "text")
+    plain = {tuple(r) for r in RP.without_lines(df, sure, "src", "text").collect()}
+    sure.bytes = 1 << 60
+    assert {tuple(r) for r in RP.without_lines(df, sure, "src", "text").collect()} == plain
+    assert {r[0]: r[-2:] for r in plain}[0] == ("own a\n\n", 2) and len(plain) == 23
+
+
 # Nearest time
 
 
@@ -174,7 +195,7 @@ def test_leaks_kinds_nulls_and_passes(spark):
     items = [(1, ITEM), (2, None), (3, "too short"), (4, ITEM)]
     d = spark.createDataFrame(docs, "doc_id int, text string").withColumn("words", F.lit(1))
     i = spark.createDataFrame(items, "item_id int, text string")
-    for per in (20_000, 1):
+    for per in (4_000_000, 3):
         w = LK.matched_windows(d, "doc_id", "text", i, "item_id", "text", per_pass=per)
         assert {tuple(r) for r in LK.exact_leaks(w).collect()} == {(a, b) for a in (1, 6, 7) for b in (1, 4)}
         kinds = {(r.doc_id, r.item_id): r.kind for r in LK.leaks(w).collect()}
@@ -183,6 +204,44 @@ def test_leaks_kinds_nulls_and_passes(spark):
     assert LK.exact_leaks(empty).count() == 0 and LK.exact_leaks(LK.matched_windows(d, "doc_id", "text", i.limit(0), "item_id", "text")).count() == 0
 
 
+def test_passes_share_one_lexicon(spark):
+    """What an item's words are does not depend on which items are looked for together."""
+    items = [(1, "On Monday Acme sold 12 crates of the apple stock to its partners in the north for cash again."), (2, "We saw apple and acme trees near the 7 partners of the crates on a monday with no stock at all."), (3, None)]
+    docs = [(1, "Intro. " + items[0][1].replace("Acme", "Zeta").replace("12", "99") + " " + items[1][1])]
+    d, i = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    got = [sorted(map(str, LK.matched_windows(d, "doc_id", "text", i, "item_id", "text", per_pass=per, placed=True).collect())) for per in (1_000_000, 5, 1)]
+    assert got[0] == got[1] == got[2] and got[0]
+
+
+def test_planted_reparameterised_leaks_are_found(spark, sf_dir):
+    """Items of the project's data with other numbers, names and units, planted in documents: at least nine of ten come back."""
+    rnd = random.Random(11)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/eval_items.parquet").collect() if len(re.findall(r"[^\W_]+", r.text)) >= 30]
+    hosts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").dropna().collect() if len(r.text) > 200]
+    names = ["Zarquon", "Pellmore", "Ostrava Works", "Kimber", "Dunsaney", "Villeroy Grand", "Threnody", "Quillfeather"]
+
+    def other(text):
+        swap = {}
+        for w in dict.fromkeys(re.findall(r"(?<=[a-z,] )[A-Z][a-z]+(?: [A-Z][a-z]+)*", text)):
+            swap[w] = names[len(swap) % len(names)] + ("" if len(swap) < len(names) else f"x{len(swap)}".replace("0", "o"))
+        for w in dict.fromkeys(re.findall(r"(?<![\w.,])\d[\d.,]*\d|(?<![\w.,])\d", text)):
+            swap[w] = str(1000 + 7 * len(swap))
+        out = re.sub("|".join(rf"(?<!\w){re.escape(w)}(?!\w)" for w in sorted(swap, key=len, reverse=True)), lambda m: swap[m.group()], text) if swap else text
+        return out, bool(swap)
+
+    planted, docs = set(), []
+    for n, (item, text) in enumerate(items):
+        new, swapped = other(text)
+        if swapped:
+            planted.add((n, item))
+            docs.append((n, rnd.choice(hosts) + "\n" + new + "\n" + rnd.choice(hosts)))
+    assert len(planted) > 100
+    d, i = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in LK.leaks(LK.matched_windows(d, "doc_id", "text", i, "item_id", "text", placed=True)).collect()}
+    print("recall", len(planted & got) / len(planted), "of", len(planted))
+    assert len(planted & got) >= 0.9 * len(planted)
+
+
 @pytest.mark.parametrize(
     "swaps",
     [
@@ -247,8 +306,8 @@ def test_mix_shares_caps_and_hot_source(spark):
     targets = [("hot", 1.0, 1), ("small", 3.0, 2), ("nodocs", 2.0, 3), ("none", None, 2), ("hot2", 1.0, 0)]
     s = spark.createDataFrame(sizes, "doc_id int, source string, n_tokens int").withColumn("copies", F.lit(9))
     t = spark.createDataFrame(targets, "source string, target_weight double, max_repeats int")
-    plan = store(MX.mix_plan(s, t), "plan")
-    mixed = MX.mix(s, plan, "doc_id", chunks=16).cache()
+    plan = store(MX.mix_plan(s, t, MX.exact_total(s, t)), "plan")
+    mixed = MX.mix(s, plan, "doc_id", chunk_docs=120).cache()
     rep = {r.source: r for r in MX.mix_report(mixed, plan, "doc_id").collect()}
     assert set(rep) == {"hot", "small"}
     assert abs(rep["hot"].target_share - 0.25) < 1e-9 and abs(rep["hot"].actual_share - 0.25) < 0.02
@@ -261,6 +320,7 @@ def test_mix_shares_caps_and_hot_source(spark):
         assert abs(mixed.filter(F.col("source") == x).count() - n * c[x]) <= 1
     assert mixed.filter("n_tokens = 0 or n_tokens is null").count() == 0
     none = store(MX.mix_plan(s.limit(0), t), "plan")
+    assert MX.exact_total(s.limit(0), t) is None
     assert MX.mix(s, none, "doc_id").count() == 0 and MX.mix_report(mixed.limit(0), none, "doc_id").count() == 0
 
 
@@ -272,6 +332,17 @@ def test_mix_with_a_total_beyond_the_caps(spark):
     assert rep["a"].tokens_used == 1000 and rep["b"].tokens_used == 5000
 
 
+def test_one_small_source_does_not_shrink_the_mix(spark):
+    s = spark.createDataFrame([(i, "small" if i < 10 else "mid" if i < 110 else "big", 10) for i in range(1000)], "doc_id int, source string, n_tokens int")
+    t = spark.createDataFrame([("small", 1.0, 2), ("mid", 1.0, 3), ("big", 2.0, 4)], "source string, target_weight double, max_repeats int")
+    plan = store(MX.mix_plan(s, t), "plan")
+    rep = {r.source: r for r in MX.mix_report(MX.mix(s, plan, "doc_id"), plan, "doc_id").collect()}
+    assert rep["small"].tokens_used == 200 and abs(rep["mid"].tokens_used - 2500) <= 10 and abs(rep["big"].tokens_used - 5000) <= 10
+    exact = store(MX.mix_plan(s, t, MX.exact_total(s, t)), "plan")
+    rep = {r.source: r for r in MX.mix_report(MX.mix(s, exact, "doc_id"), exact, "doc_id").collect()}
+    assert rep["small"].tokens_used == 200 and abs(rep["big"].tokens_used - 400) <= 10
+
+
 def test_token_count_is_the_tokenizers(spark):
     import tokenizers
 

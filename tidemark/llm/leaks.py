@@ -17,21 +17,20 @@ their own rows. Items of fewer than WIDTH words cannot be found.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import store
+from ..runtime import BROADCAST_BYTES, Stored, store
 from .visual_form import visual_form
 
 WIDTH = 12
-#: Items taken in one pass over the documents; more items make more passes.
-ITEMS_A_PASS = 20_000
+#: Item windows looked for in one pass over the documents; more of them make more passes, each with a part of the hashes.
+WINDOWS_A_PASS = 4_000_000
 #: Characters cut into words at a time.
 BLOCK = 1 << 20
 CUT = "\x1e"
@@ -63,44 +62,47 @@ _MIX = 0x9E3779B97F4A7C15
 
 @dataclass
 class Lexicon:
-    """How the items use each lower-case word: as a name, a unit or a plain word."""
+    """How the items use each lower-case word: as a name, a unit or a plain word. One for all items, whatever their number."""
 
     kinds: dict[str, int]
     small: frozenset[str] = frozenset()
 
-    @classmethod
-    def of(cls, texts: list[str]) -> Lexicon:
-        cased: Counter[str] = Counter()
-        small: Counter[str] = Counter()
-        after: Counter[str] = Counter()
+    @staticmethod
+    def uses(texts: list[str]) -> dict[str, list[int]]:
+        """Per lower-case word: how often capital within a sentence, how often small, how often small after a number."""
+        out: dict[str, list[int]] = {}
         for t in texts:
             last, end = "", 0
             for m in WORD.finditer(t):
                 w = m.group()
                 opening = end == 0 or any(c in ".!?\n" for c in t[end : m.start()])
+                n = out.setdefault(w.lower(), [0, 0, 0])
                 if w[0].isupper():
-                    if not opening:
-                        cased[w.lower()] += 1
+                    n[0] += not opening
                 else:
-                    small[w] += 1
-                    if last.isdigit() and w != "more" or last == "more":
-                        after[w] += 1
+                    n[1] += 1
+                    n[2] += last.isdigit() and w != "more" or last == "more"
                 last, end = w, m.end()
+        return out
+
+    @classmethod
+    def of_uses(cls, uses: dict[str, list[int]]) -> Lexicon:
         kinds: dict[str, int] = {}
-        for t in texts:
-            for w in WORD.findall(t):
-                k = w.lower()
-                if k in kinds:
-                    continue
-                if any(c.isdigit() for c in k):
-                    continue
-                if cased[k] and not small[k]:
-                    kinds[k] = NAME
-                elif after[k] and (k.endswith("s") or k == "percent"):
-                    kinds[k] = UNIT
-                else:
-                    kinds[k] = FIRST + len(kinds)
-        return cls(kinds, frozenset(small))
+        for k in sorted(uses):
+            cased, small, after = uses[k]
+            if any(c.isdigit() for c in k):
+                continue
+            if cased and not small:
+                kinds[k] = NAME
+            elif after and (k.endswith("s") or k == "percent"):
+                kinds[k] = UNIT
+            else:
+                kinds[k] = FIRST + len(kinds)
+        return cls(kinds, frozenset(k for k in uses if uses[k][1]))
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Lexicon:
+        return cls.of_uses(cls.uses(texts))
 
 
 class _Ids(dict):
@@ -306,32 +308,55 @@ def placed_windows(texts: list[str | None], lexicon: Lexicon, wanted: np.ndarray
     return out
 
 
-WINDOW = "pos int, h bigint, words array<string>, slots array<boolean>"
+def item_lexicon(items: DataFrame, text: str) -> Lexicon:
+    """The lexicon of all items, counted in parallel; only the vocabulary of the items, a stated query set, comes back."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            u = Lexicon.uses(Forms(df["t"].tolist()))
+            yield pd.DataFrame([(k, *n) for k, n in u.items()], columns=["w", "a", "b", "c"])
+
+    uses = items.select(F.col(text).alias("t")).dropna().mapInPandas(count, "w string, a bigint, b bigint, c bigint")
+    total = uses.groupBy("w").agg(*[F.sum(c).alias(c) for c in "abc"])
+    return Lexicon.of_uses({r.w: [r.a, r.b, r.c] for r in total.collect()})
 
 
-def matched_windows(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, width: int = WIDTH, per_pass: int = ITEMS_A_PASS, placed: bool = False) -> DataFrame:
+def item_windows(items: DataFrame, item_id: str, text: str, lexicon, width: int, placed: bool) -> Stored:
+    """All windows of the items: ``item_id``, ``reading``, ``ipos``, ``h``, ``iwords``, ``slots``. ``lexicon`` is broadcast."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex = lexicon.value
+        plain = {w for w, k in lex.kinds.items() if k >= FIRST}
+        for df in batches:
+            forms, ids = Forms(df["t"].tolist()), df["i"].tolist()
+            rows = [(ids[i], WORDS, s, h, w, [x not in plain for x in w]) for i, s, h, w in template_windows(forms, lex, None, width)]
+            if placed:
+                rows += [(ids[i], *r) for i, *r in placed_windows(forms, lex, None, width)]
+            yield pd.DataFrame(rows, columns=["item_id", "reading", "ipos", "h", "iwords", "slots"])
+
+    schema = f"item_id {dict(items.dtypes)[item_id]}, reading int, ipos int, h bigint, iwords array<string>, slots array<boolean>"
+    return store(items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).dropna(subset=["t"]).mapInPandas(cut, schema), "items")
+
+
+def matched_windows(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, width: int = WIDTH, per_pass: int = WINDOWS_A_PASS, placed: bool = False) -> DataFrame:
     """One row per document window and item window with one template: ``doc_id``, ``item_id``, ``reading``, ``pos``,
     ``ipos``, ``words``, ``iwords``, ``slots`` (which of the words stand in slots). With ``placed`` in all readings, else
-    in WORDS, which has every exact leak."""
+    in WORDS, which has every exact leak.
+
+    A pass looks for a part of the hash values, so passes differ in nothing but what they look for.
+    """
     spark = docs.sparkSession
-    passes = max(1, -(-items.count() // per_pass))
+    lexicon = spark.sparkContext.broadcast(item_lexicon(items, item_text))
+    index = item_windows(items, item_id, item_text, lexicon, width, placed)
+    passes = max(1, -(-index.df.count() // per_pass))
     out = None
     for p in range(passes):
-        block = items if passes == 1 else items.filter(F.pmod(F.xxhash64(item_id), F.lit(passes)) == p)
-        rows = block.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).dropna().collect()  # a stated query set, in blocks
-        forms = Forms([r.t for r in rows])
-        lexicon = Lexicon.of(forms)
-        plain = {w for w, k in lexicon.kinds.items() if k >= FIRST}
-        windows = [(i, WORDS, s, h, w, [x not in plain for x in w]) for i, s, h, w in template_windows(forms, lexicon, None, width)]
-        if placed:
-            windows += placed_windows(forms, lexicon, None, width)
-        found = pd.DataFrame([(rows[i].i, *w) for i, *w in windows], columns=["item_id", "reading", "ipos", "h", "iwords", "slots"])
-        schema = f"item_id {dict(items.dtypes)[item_id]}, reading int, ipos int, h bigint, iwords array<string>, slots array<boolean>"
-        index = store(spark.createDataFrame(found, schema) if len(found) else spark.createDataFrame([], schema), "items")
-        shared = spark.sparkContext.broadcast((lexicon, np.unique(found["h"].to_numpy(np.int64))))  # of one block of items
+        block = index.df if passes == 1 else index.df.filter(F.pmod("h", F.lit(passes)) == p)
+        found = block.select("h").distinct().toPandas()["h"].to_numpy(np.int64)  # at most per_pass hashes of the items
+        shared = spark.sparkContext.broadcast(np.sort(found))
 
         def seek(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            lex, wanted = shared.value
+            lex, wanted = lexicon.value, shared.value
             for df in batches:
                 texts = Forms(df["text"].tolist())
                 hits = template_windows(texts, lex, wanted, width)
@@ -344,14 +369,29 @@ def matched_windows(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
 
         src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
         hits = src.mapInPandas(seek, f"doc_id {dict(docs.dtypes)[doc_id]}, pos int, h bigint, words array<string>")
-        joined = hits.join(index.hinted(), "h").drop("h")
+        joined = hits.join(F.broadcast(block) if index.small(BROADCAST_BYTES * passes) else block, "h").drop("h")
         out = joined if out is None else out.unionByName(joined)
     return out
 
 
+def _slot_values() -> Column:
+    """Values in the slots of both windows, beside each other."""
+    return F.transform(F.filter(F.arrays_zip("iwords", "words", "slots"), lambda x: x["slots"]), lambda x: F.struct(x["iwords"].alias("i"), x["words"].alias("d")))
+
+
+def _one_to_one(slots: Column) -> Column:
+    n = lambda a: F.size(F.array_distinct(a))
+    return (n(slots) == n(F.transform(slots, lambda x: x["i"]))) & (n(slots) == n(F.transform(slots, lambda x: x["d"])))
+
+
 def exact_leaks(windows: DataFrame) -> DataFrame:
-    """Distinct (``doc_id``, ``item_id``) that share a whole window of words."""
-    return windows.filter((F.col("reading") == WORDS) & (F.col("words") == F.col("iwords"))).select("doc_id", "item_id").distinct()
+    """Distinct (``doc_id``, ``item_id``) that share a whole window of words.
+
+    Window pairs come from the template join; those whose slot values map one to one are consistent, and of these the
+    ones whose values are the same are exact.
+    """
+    same = windows.filter(F.col("reading") == WORDS).withColumn("_s", _slot_values()).filter(_one_to_one(F.col("_s")))
+    return same.filter(F.col("words") == F.col("iwords")).select("doc_id", "item_id").distinct()
 
 
 def leaks(windows: DataFrame, min_plain: int = MIN_PLAIN) -> DataFrame:
@@ -361,9 +401,7 @@ def leaks(windows: DataFrame, min_plain: int = MIN_PLAIN) -> DataFrame:
     Windows of one reading on one diagonal (document position less item position) belong to one passage. Its slots are consistent
     when each value of the item always stands for one value of the document and the other way round.
     """
-    zipped = F.arrays_zip("iwords", "words", "slots")
-    slots = F.transform(F.filter(zipped, lambda x: x["slots"]), lambda x: F.struct(x["iwords"].alias("i"), x["words"].alias("d")))
-    w = windows.select("doc_id", "item_id", "reading", "pos", (F.col("pos") - F.col("ipos")).alias("diag"), ((F.col("reading") == WORDS) & (F.col("words") == F.col("iwords"))).alias("same"), slots.alias("slots"), (F.size("slots") - F.size(F.filter("slots", lambda x: x))).alias("plain"))
+    w = windows.select("doc_id", "item_id", "reading", "pos", (F.col("pos") - F.col("ipos")).alias("diag"), ((F.col("reading") == WORDS) & (F.col("words") == F.col("iwords"))).alias("same"), _slot_values().alias("slots"), (F.size("slots") - F.size(F.filter("slots", lambda x: x))).alias("plain"))
     w = store(w.filter((F.col("plain") >= min_plain) | F.col("same")), "leak-windows").df
     key = ["doc_id", "item_id", "reading", "diag"]
     pairs = w.select(*key, F.explode("slots").alias("s")).select(*key, "s.i", "s.d").distinct()

@@ -9,7 +9,10 @@ with most of the rows is still spread over all tasks.
 
 Defined results: texts without tokens (NULL, empty) are never emitted. Targets without documents, with a missing or
 non-positive weight or a missing or non-positive cap get nothing and the other weights are scaled up; sources without
-a target get nothing. Without ``total``, the total is the largest for which no cap binds, so all shares are met.
+a target get nothing. Without ``total``, the total is the size of all documents of the sources that take part, so that
+one source that is too small for its share does not shrink the rest: it gives all that its cap allows, the others their
+shares of the total, and the mix is smaller by what is lacking. :func:`exact_total` is the largest total at which no cap
+binds and all shares are met.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import Stored, store
 
-CHUNKS = 1024
+#: Documents of a chunk, about; a source's prefix sum is made within its chunks and over them.
+CHUNK_DOCS = 20_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A long text is counted in parts of about so many characters, cut before a blank that follows a letter or digit.
 PART = 1 << 16
@@ -62,34 +66,41 @@ def token_count(text: Column, path: str | None = None, pattern: str | None = Non
     return F.pandas_udf(count, "bigint")(text)
 
 
-def mix_plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
-    """Per source: docs, tokens, target_share (scaled), max_repeats, ``copies`` expected per document."""
+def _taking_part(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per source with documents and a target: docs, tokens, target_share (scaled), max_repeats."""
     t = targets.groupBy("source").agg(F.max(F.struct("target_weight", "max_repeats")).alias("t")).select("source", "t.*")
     t = t.filter((F.col("target_weight") > 0) & ~F.isnan("target_weight") & (F.col("max_repeats") > 0))
     have = sizes.filter("n_tokens > 0").groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
     both = t.join(have, "source")
-    everything = W.partitionBy()  # one row per target: as many as there are sources, not documents
-    both = both.withColumn("target_share", F.col("target_weight") / F.sum("target_weight").over(everything))
-    if total is None:
-        both = both.withColumn("total", F.min(F.col("max_repeats") * F.col("tokens") / F.col("target_share")).over(everything))
-    else:
-        both = both.withColumn("total", F.lit(float(total)))
-    copies = F.least(F.col("target_share") * F.col("total") / F.col("tokens"), F.col("max_repeats").cast("double"))
+    return both.withColumn("target_share", F.col("target_weight") / F.sum("target_weight").over(W.partitionBy()))  # one row per target
+
+
+def exact_total(sizes: DataFrame, targets: DataFrame) -> float | None:
+    """The largest total in tokens at which no cap binds; None where no source takes part."""
+    return _taking_part(sizes, targets).agg(F.min(F.col("max_repeats") * F.col("tokens") / F.col("target_share"))).first()[0]
+
+
+def mix_plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+    """Per source: docs, tokens, target_share (scaled), max_repeats, ``copies`` expected per document."""
+    both = _taking_part(sizes, targets)
+    goal = F.lit(float(total)) if total is not None else F.sum("tokens").over(W.partitionBy()).cast("double")  # one row per target
+    copies = F.least(F.col("target_share") * goal / F.col("tokens"), F.col("max_repeats").cast("double"))
     return both.select("source", "docs", "tokens", "target_share", "max_repeats", copies.alias("copies"))
 
 
-def mix(sizes: DataFrame, plan: Stored, doc_id: str, seed: int = 0, chunks: int = CHUNKS) -> DataFrame:
+def mix(sizes: DataFrame, plan: Stored, doc_id: str, seed: int = 0, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
     """One row per emitted copy: ``doc_id``, source, n_tokens, ``copy_no`` from 1.
 
-    Within a chunk documents go by size, so that the systematic sample takes all sizes evenly.
+    Within a chunk documents go by size, so that the systematic sample takes all sizes evenly. A source has as many
+    chunks as hold about ``chunk_docs`` documents each, so no task's part grows with the source.
     """
-    p = plan.df.select("source", "copies")
+    p = plan.df.select("source", "copies", F.ceil(F.col("docs") / chunk_docs).alias("_chunks"))
     rows = sizes.select(doc_id, "source", "n_tokens").filter("n_tokens > 0").join(F.broadcast(p) if plan.small() else p, "source")
-    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(chunks)))
+    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(F.lit(seed), doc_id), F.col("_chunks")))
     number = F.row_number().over(W.partitionBy("source", "_chunk").orderBy("n_tokens", doc_id))
     count = rows.groupBy("source", "_chunk").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy("source").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    base = count.select("source", "_chunk", before.alias("_before"))  # at most ``chunks`` rows a source
+    base = count.select("source", "_chunk", before.alias("_before"))  # a row per chunk
     rows = rows.withColumn("_k", number).join(base, ["source", "_chunk"])
     offset = F.pmod(F.xxhash64(F.lit(seed + 1), "source"), F.lit(1 << 30)) / float(1 << 30)
     upto = lambda k: F.floor(k * F.col("copies") + offset)

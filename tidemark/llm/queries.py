@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import Stored, latest, latest_files, store
+from ..runtime import latest, latest_files, store
 from ..sources.tables import calls_key, day, lowered, read, ticker
 from .leaks import exact_leaks, leaks, matched_windows
-from .mixing import mix, mix_plan, mix_report, token_count
+from .mixing import exact_total, mix, mix_plan, mix_report, token_count
 from .nearest_time import nearest
 from .reading_level import fit_levels, level_column
 from .repeated_lines import line_sets, repeated_lines, without_lines
@@ -115,20 +115,42 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store(docs, "sizes").df
 
 
-def _plan(spark: SparkSession, sf_dir: str, sizes: DataFrame) -> Stored:
-    targets = read(spark, sf_dir, "mix_targets").select(lowered("source").alias("source"), "target_weight", "max_repeats")
-    return store(mix_plan(sizes, targets), "plan")
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "mix_targets").select(lowered("source").alias("source"), "target_weight", "max_repeats")
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = _sizes(spark, sf_dir)
-    return mix(sizes, _plan(spark, sf_dir, sizes), "doc_id")
+    return mix(sizes, store(mix_plan(sizes, _targets(spark, sf_dir)), "plan"), "doc_id")
+
+
+def _shares(sizes: DataFrame, targets: DataFrame, total: float | None) -> DataFrame:
+    plan = store(mix_plan(sizes, targets, total), "plan")
+    return mix_report(mix(sizes, plan, "doc_id"), plan, "doc_id")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of a mix as large as the documents of all targeted sources; caps that bind cost small sources a part of theirs."""
+    return _shares(_sizes(spark, sf_dir), _targets(spark, sf_dir), None)
+
+
+def p9_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the largest mix that meets all targets, which is smaller."""
+    sizes, targets = _sizes(spark, sf_dir), _targets(spark, sf_dir)
+    return _shares(sizes, targets, exact_total(sizes, targets))
+
+
+def p9_capped_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of a mix three times as large as the documents, for which several sources are too small even repeated."""
     sizes = _sizes(spark, sf_dir)
-    plan = _plan(spark, sf_dir, sizes)
-    return mix_report(mix(sizes, plan, "doc_id"), plan, "doc_id")
+    return _shares(sizes, _targets(spark, sf_dir), 3.0 * (sizes.agg(F.sum("n_tokens")).first()[0] or 0))
+
+
+def p9_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan behind :func:`p9_mix` with characters as sizes, which any engine can count."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", lowered("source").alias("source"), F.char_length("text").cast("bigint").alias("n_tokens"))
+    plan = mix_plan(store(docs, "sizes").df, _targets(spark, sf_dir))
+    return plan.select("source", "docs", "tokens", *[F.round(F.col(c) + 1e-10, 6).alias(c) for c in ("target_share", "copies")], "max_repeats")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,4 +161,4 @@ def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", visual_form_column(F.col("text")).alias("form"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_features, p3_found, p3_levels, p3_profile, p5_found, p5_pieces, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_features, p3_found, p3_levels, p3_profile, p5_found, p5_pieces, p8_found, p8_leaks, p9_mix, p9_shares, p9_exact_shares, p9_capped_shares, p9_plan, p10_found, p10_forms)}

@@ -44,3 +44,10 @@ FROM best b LEFT JOIN old o USING (ticker, quarter, year)""",
 SELECT ticker, quarter, year, 'full_z' AS field FROM calls WHERE length(full_z) > 4000
 UNION ALL SELECT ticker, quarter, year, 'qa_z' FROM calls WHERE length(qa_z) > 4000""",
 }
+ORACLE["p9_plan"] = """WITH t AS (
+  SELECT lower(trim(source)) AS source, target_weight AS w, max_repeats AS m FROM mix_targets
+  QUALIFY row_number() OVER (PARTITION BY lower(trim(source)) ORDER BY target_weight DESC, max_repeats DESC) = 1),
+d AS (SELECT lower(trim(source)) AS source, count(*) AS docs, sum(length(text))::BIGINT AS tokens FROM documents WHERE length(text) > 0 GROUP BY 1),
+b AS (SELECT * FROM (SELECT * FROM t WHERE w > 0 AND NOT isnan(w) AND m > 0) JOIN d USING (source)),
+p AS (SELECT *, w / sum(w) OVER () AS target_share, sum(tokens) OVER () AS total FROM b)
+SELECT source, docs, tokens, round(target_share + 1e-10, 6) AS target_share, round(least(target_share * total / tokens, m) + 1e-10, 6) AS copies, m AS max_repeats FROM p"""
