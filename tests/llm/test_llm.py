@@ -18,7 +18,7 @@ from tidemark.llm.nearest_time import fit_segments, nearest
 from tidemark.llm.queries import QUERIES
 from tidemark.llm.queries_sql import ORACLE
 from tidemark.llm.split_text import pieces, split_spans
-from tidemark.llm.visual_form import lookalike_pairs, visual_form, visual_form_column
+from tidemark.llm.visual_form import lookalike_classes, lookalike_pairs, visual_form, visual_form_column
 from tidemark.runtime import store
 
 D = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
@@ -127,7 +127,29 @@ def test_levels_on_held_out_passages(spark, sf_dir):
     m = RL.LevelModel.fit([r.text for r in train], [r.grade for r in train])
     got = m.grade(m.index(RL.measures([r.text for r in held], m.ngrams)))
     g = np.array([r.grade for r in held])
-    assert np.mean((got >= 20) == (g >= 20)) >= 0.95 and np.abs(got - g).mean() < 1.5
+    assert ((got >= 20) == (g >= 20)).all() and np.abs(got - g).mean() < 0.7
+
+
+def test_levels_do_not_depend_on_blocks(spark, sf_dir):
+    rnd = random.Random(9)
+    m = RL.fit_levels(spark.read.parquet(f"{sf_dir}/level_samples.parquet"), "text", "grade")
+    words = ["sales", "rose", "we", "don't", "believe.", "Why?", "Joe Doe:", "\n", "12.5", "étude", "x" * 300, ". and", "well-known"]
+    texts = [" ".join(rnd.choice(words) for _ in range(n)) for n in (400, 3, 900, 60)] + ["y" * 5000, "One. Two! three? Four\n\nFive"]
+    whole = RL.measures(texts, m.ngrams)
+    for block in (1, 2, 7, 100, 1000):
+        assert np.allclose(RL.measures(texts, m.ngrams, block), whole, rtol=1e-9)
+    assert np.allclose(RL.measures(texts[::-1], m.ngrams)[::-1], whole, rtol=1e-9)
+
+
+def test_levels_of_all_passages_from_models_that_have_not_seen_them(spark, sf_dir):
+    rows_ = sorted(spark.read.parquet(f"{sf_dir}/level_samples.parquet").collect(), key=lambda r: r.sample_id)
+    g, got = np.array([r.grade for r in rows_], float), np.zeros(len(rows_))
+    for k in range(6):
+        m = RL.LevelModel.fit([r.text for i, r in enumerate(rows_) if i % 6 != k], [r.grade for i, r in enumerate(rows_) if i % 6 != k])
+        at = [i for i in range(len(rows_)) if i % 6 == k]
+        got[at] = m.grade(m.index(RL.measures([rows_[i].text for i in at], m.ngrams)))
+    print("mean error", np.abs(got - g).mean(), "wrong side of 20", ((got >= 20) != (g >= 20)).sum(), "of", len(g), "rank correlation", np.corrcoef(np.argsort(np.argsort(got)), np.argsort(np.argsort(g)))[0, 1])
+    assert np.abs(got - g).mean() < 0.7 and ((got >= 20) != (g >= 20)).sum() <= 1
 
 
 def test_levels_of_odd_texts(spark, sf_dir):
@@ -380,6 +402,10 @@ def test_lookalike_pairs_with_copies_and_nulls(spark):
     got = [(r.doc_id_a, r.doc_id_b) for r in lookalike_pairs(df, "doc_id", "text").collect()]
     want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if texts[a] is not None and texts[b] is not None and texts[a] != texts[b] and visual_form(texts[a]) == visual_form(texts[b])}
     assert set(got) == want and len(got) == len(want) == 7
+    links = collections.Counter(x for p in want for x in p)
+    classes = {r.doc_id: (r.class_id, r.n_links) for r in lookalike_classes(df, "doc_id", "text").collect()}
+    assert {k: n for k, (_, n) in classes.items()} == links and classes[3][0] == 0 and classes[9] == (7, 2)
+    assert lookalike_classes(df.limit(0), "doc_id", "text").count() == 0
     assert lookalike_pairs(df.limit(0), "doc_id", "text").count() == 0
     f = spark.createDataFrame([("STRASSE",), ("ﬁ Straße",), (None,)], "t string").select(visual_form_column(F.col("t"), fold_case=True).alias("f"))
     assert [r.f for r in f.collect()] == ["strasse", "fi strasse", None]

@@ -13,7 +13,7 @@ from .nearest_time import nearest
 from .reading_level import fit_levels, level_column
 from .repeated_lines import line_sets, repeated_lines, without_lines
 from .split_text import split_spans
-from .visual_form import lookalike_pairs, visual_form_column
+from .visual_form import lookalike_classes, lookalike_pairs, visual_form_column
 
 CALL = ["ticker", "quarter", "year"]
 
@@ -97,6 +97,19 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*CALL, "field", (F.col("piece_no") + 1).alias("piece_no"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("piece"))
 
 
+def p5_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of each text make together: the text itself, and whether all are within the limit, share with the
+    one before no more than the overlap and something, and end after white space or within a word that fills a piece."""
+    before = lambda i: F.when(i > 0, F.get("spans", i - 1)["end"]).otherwise(0)
+    own = F.transform("spans", lambda s, i: F.substring("text", before(i) + 1, s["end"] - before(i)))
+    n, last = F.char_length("text"), F.size("spans") - 1
+    shared = lambda s, i: before(i) - s["start"]
+    each = F.transform("spans", lambda s, i: F.struct(s["end"].alias("end"), (s["end"] - s["start"] <= 4000).alias("fits"), ((i == 0) | shared(s, i).between(1, 200)).alias("shares"), ((i == last) | F.substring("text", s["end"], F.lit(1)).rlike(r"(?U)\s") | ~F.substring("text", before(i) + 1, s["end"] - before(i)).rlike(r"(?U)\s")).alias("natural")))
+    x = _split(spark, sf_dir).select(*CALL, "field", n.alias("n_chars"), F.md5(F.array_join(own, "")).alias("digest"), (F.size("spans") > 1).alias("cut"), each.alias("e"))
+    every = lambda k: F.forall("e", lambda s: s[k]).alias(k)
+    return x.select(*CALL, "field", "n_chars", "digest", "cut", every("fits"), every("shares"), every("natural"))
+
+
 def _windows(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
     return matched_windows(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_items"), "item_id", "text", placed=placed)
 
@@ -157,8 +170,12 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_classes(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", visual_form_column(F.col("text")).alias("form"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_features, p3_found, p3_levels, p3_profile, p5_found, p5_pieces, p8_found, p8_leaks, p9_mix, p9_shares, p9_exact_shares, p9_capped_shares, p9_plan, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_features, p3_found, p3_levels, p3_profile, p5_found, p5_pieces, p5_roundtrip, p8_found, p8_leaks, p9_mix, p9_shares, p9_exact_shares, p9_capped_shares, p9_plan, p10_found, p10_classes, p10_forms)}

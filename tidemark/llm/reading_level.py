@@ -1,8 +1,8 @@
 """Reading level of documents from the surprisal of an n-gram model.
 
 An interpolated character n-gram model is trained on the easier half of graded passages, so that text is the more
-surprising the further it is from easy text. A document's surprisal is taken over all its characters and read as two
-distributions, bits per word and bits per sentence; their weighted sum is mapped to grades by isotonic regression.
+surprising the further it is from easy text. A document's surprisal is taken over all its characters; the mean per word
+and the mean and deviation over its sentences, weighed, are mapped to grades by isotonic regression.
 
 Defined results: NULL, empty and wordless texts have no level. Speaker names at line starts are not part of the text;
 a line end ends a sentence. Levels lie between the lowest and the highest grade of the samples;
@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 MAX_SAMPLES = 20_000
 ORDER = 4
 FOLDS = 10
+#: Weights tried for the index: of the deviation, and of bits per sentence against bits per word.
+SHARES_SD = (0.0, 0.1, 0.2, 0.3)
+SHARES_SENTENCE = tuple(k / 20 for k in range(21))
 LEVEL = "struct<level:double,bits_per_word:double,bits_per_sentence:double,sentence_sd:double,words:double,sentences:double>"
 #: Characters scored at a time.
 BLOCK = 1 << 20
@@ -93,8 +96,8 @@ class NGrams:
         return cls((-np.log2(np.maximum(p, 1e-12))).astype(np.float32))
 
 
-def measure(raw: np.ndarray, model: NGrams, doc: np.ndarray, n_docs: int, order: int = ORDER) -> np.ndarray:
-    """Per document: bits, words, sentences, sum of squared bits per sentence. ``doc``: the document of each byte."""
+def _read(raw: np.ndarray, model: NGrams, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per symbol: its bits, whether a word starts at it, whether a sentence ends with it."""
     s = symbols(raw)
     bits = model.bits[NGrams.contexts(s, order)]
     word = _IS_WORD[s]
@@ -105,6 +108,12 @@ def measure(raw: np.ndarray, model: NGrams, doc: np.ndarray, n_docs: int, order:
     after = np.concatenate((s[1:], [30]))
     then = np.concatenate((raw[2:], [10, 10]))[: len(raw)]
     end = (s == 30) | (stop & ((after == 0) | (after == 30)) & ~((then >= 97) & (then <= 122)))
+    return bits, starts, end
+
+
+def measure(raw: np.ndarray, model: NGrams, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """Per document: bits, words, sentences, sum of squared bits per sentence. ``doc``: the document of each byte."""
+    bits, starts, end = _read(raw, model)
     sentence = np.cumsum(end) - end + doc  # a new document is a new sentence too
     w = np.bincount(sentence, weights=starts)
     b = np.bincount(sentence, weights=bits)
@@ -119,8 +128,35 @@ def measure(raw: np.ndarray, model: NGrams, doc: np.ndarray, n_docs: int, order:
     return out
 
 
+def measure_long(raw: np.ndarray, model: NGrams, block: int) -> np.ndarray:
+    """The same of one document of any length, ``block`` bytes at a time. Each block is read with the bytes before and
+    after it that its symbols depend on, and its last sentence goes on in the next, so the cuts change nothing."""
+    out = np.zeros(4)
+    open_w = open_b = 0.0
+
+    def add(w: np.ndarray, b: np.ndarray) -> None:
+        real = w > 0
+        out[:] += b[real].sum(), w[real].sum(), real.sum(), (b[real] ** 2).sum()
+
+    for a in range(0, len(raw), block):
+        z = min(len(raw), a + block)
+        lead = min(a, ORDER - 1)
+        bits, starts, end = (x[lead : lead + z - a] for x in _read(raw[a - lead : z + 2], model))
+        sentence = np.cumsum(end) - end
+        w, b = np.bincount(sentence, weights=starts), np.bincount(sentence, weights=bits)
+        w[0] += open_w
+        b[0] += open_b
+        open_w, open_b, n = (0.0, 0.0, len(w)) if end[-1] else (w[-1], b[-1], len(w) - 1)
+        add(w[:n], b[:n])
+    add(np.array([open_w]), np.array([open_b]))
+    return out
+
+
+LEAD = "\n" + CUT + "\n"  # stands before every text and a line end behind it, so that its ends have one context
+
+
 def measures(texts: list[str | None], model: NGrams, block: int = BLOCK) -> np.ndarray:
-    """As :func:`measure`, in blocks; a long text is cut at line ends or, without any, between bytes of a block."""
+    """As :func:`measure`, of about ``block`` characters at a time; what comes out does not depend on the blocks."""
     out = np.zeros((len(texts), 4))
     held: list[str] = []
     at: list[int] = []
@@ -129,31 +165,22 @@ def measures(texts: list[str | None], model: NGrams, block: int = BLOCK) -> np.n
     def flush() -> None:
         nonlocal held, at, size
         if held:
-            raw = np.frombuffer(SPEAKER.sub("", ("\n" + CUT + "\n").join(held)).encode(), np.uint8)
-            cut = raw == 0x1E
-            np.add.at(out, at, measure(raw, model, np.cumsum(cut), len(held)))
+            raw = np.frombuffer(SPEAKER.sub("", LEAD + LEAD.join(held) + "\n").encode(), np.uint8)
+            out[at] = measure(raw, model, np.maximum(np.cumsum(raw == 0x1E) - 1, 0), len(held))
             held, at, size = [], [], 0
 
     for i, t in enumerate(texts):
         if not t:
             continue
-        if CUT in t:
-            t = t.replace(CUT, " ")
-        a = 0
-        while a < len(t):
-            b = len(t)
-            if b - a > block:
-                b = t.rfind("\n", a, a + block) + 1
-                if b <= a:
-                    b = t.rfind(". ", a, a + block) + 1
-                if b <= a:
-                    b = a + block
-            held.append(t[a:b])
-            at.append(i)
-            size += b - a
-            a = b
-            if size >= block:
-                flush()
+        t = t.replace(CUT, " ")
+        if len(t) > block:
+            out[i] = measure_long(np.frombuffer(SPEAKER.sub("", LEAD + t + "\n").encode(), np.uint8), model, block)
+            continue
+        held.append(t)
+        at.append(i)
+        size += len(t)
+        if size >= block:
+            flush()
     flush()
     return out
 
@@ -174,7 +201,8 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LevelModel:
-    """``index = a * bits per word + b * bits per sentence``, and its isotonic map to grades."""
+    """The index is a weighted mean of the parts of :meth:`distribution`, each over its spread in the samples; its isotonic
+    map gives grades. The weights are those, in steps, whose map leaves the least error."""
 
     ngrams: NGrams
     weights: np.ndarray
@@ -196,23 +224,27 @@ class LevelModel:
             m[at] = measures([texts[i] for i in at], NGrams.train(others))
         keep = m[:, 1] > 0
         m, g = m[keep], g[keep]
-        x = np.column_stack((m[:, 0] / m[:, 1], m[:, 0] / m[:, 2], np.ones(len(m))))
-        # Grades at the top are cut, so their target there is at least the grade: refit until that settles.
-        top, target = g.max(), g.copy()
-        w = np.zeros(3)
-        for _ in range(50):
-            w = np.linalg.lstsq(x, target, rcond=None)[0]
-            if (w[:2] < 0).any():
-                k = int(np.argmax(w[:2]))
-                w = np.zeros(3)
-                w[[k, 2]] = np.linalg.lstsq(x[:, [k, 2]], target, rcond=None)[0]
-            target = np.where(g >= top, np.maximum(g, x @ w), g)
-        xs, ys = isotonic(x @ w, g)
-        return cls(ngrams, w, xs, ys)
+        x = np.column_stack(cls.distribution(m))
+        spread = np.maximum(x.std(axis=0), 1e-9)
+        best, least = None, np.inf
+        for sd in SHARES_SD:
+            for per_sentence in SHARES_SENTENCE:
+                w = np.array([(1 - sd) * (1 - per_sentence), (1 - sd) * per_sentence, sd]) / spread
+                xs, ys = isotonic(x @ w, g)
+                err = ((np.interp(x @ w, xs, ys) - g) ** 2).sum()
+                if err < least - 1e-9:
+                    best, least = cls(ngrams, w, xs, ys), err
+        return best
 
-    def index(self, m: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def distribution(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the surprisal of a document: mean per word, mean per sentence, deviation over sentences."""
         with np.errstate(divide="ignore", invalid="ignore"):
-            return self.weights[0] * m[:, 0] / m[:, 1] + self.weights[1] * m[:, 0] / m[:, 2] + self.weights[2]
+            per_sentence = m[:, 0] / m[:, 2]
+            return m[:, 0] / m[:, 1], per_sentence, np.sqrt(np.maximum(m[:, 3] / m[:, 2] - per_sentence**2, 0))
+
+    def index(self, m: np.ndarray) -> np.ndarray:
+        return sum(w * d for w, d in zip(self.weights, self.distribution(m)))
 
     def grade(self, index: np.ndarray) -> np.ndarray:
         return np.where(np.isnan(index), np.nan, np.interp(index, self.xs, self.ys))
@@ -236,9 +268,7 @@ def level_column(model: LevelModel | None, df: DataFrame, text: Column) -> Colum
         for texts in batches:
             x = measures(texts.tolist(), m.ngrams)
             none = x[:, 1] == 0
-            with np.errstate(divide="ignore", invalid="ignore"):
-                level, bw, bs = m.grade(m.index(x)), x[:, 0] / x[:, 1], x[:, 0] / x[:, 2]
-                sd = np.sqrt(np.maximum(x[:, 3] / x[:, 2] - bs**2, 0))
+            level, (bw, bs, sd) = m.grade(m.index(x)), m.distribution(x)
             out = pd.DataFrame({"level": level, "bits_per_word": bw, "bits_per_sentence": bs, "sentence_sd": sd, "words": x[:, 1], "sentences": x[:, 2]}, index=texts.index)
             yield out.mask(none[:, None] & np.ones(6, bool))
 

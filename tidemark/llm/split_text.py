@@ -2,8 +2,8 @@
 
 A text is cut by a hierarchy of separators: sections (two or more empty lines), paragraphs (an empty line), lines,
 sentences, words, characters. A unit too large for a piece is cut by the next finer separator; the units are then
-packed greedily up to the limit. Each piece after the first begins with whole units from the end of the piece before,
-as many as fit the overlap.
+packed greedily up to the limit. Each piece after the first begins with the end of the piece before: the longest stretch
+within the overlap that begins at a word, or, where one word fills the overlap, exactly the overlap.
 
 Defined results: sizes are code points. A NULL text has no pieces, any other text within the limit one. Separators
 belong to the unit before them, so the pieces without their overlaps are the text.

@@ -17,18 +17,25 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..runtime import store
+from ..runtime import Stored, store
 
-# Greek and Cyrillic letters drawn as a Latin letter, each line the letters and what they are drawn as.
+# Letters of other alphabets drawn as a Latin letter, each line the letters and what they are drawn as:
+# Greek, Cyrillic, Armenian, Cherokee.
 DRAWN_ALIKE = [
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),
     ("ϹͿο", "CJo"),
     ("ϲϳ", "cj"),
+    ("νρ", "vp"),
     ("АВЕЅІЈКМНОРСТХ", "ABESIJKMHOPCTX"),
     ("аеорсухѕіј", "aeopcyxsij"),
     ("ԁԛԝԚԜһҺӀӏ", "dqwQWhhIl"),
+    ("ѵѴүҮԌ", "vVyYG"),
+    ("օսհցզ", "ouhgq"),
+    ("ՕՍԼ", "OUL"),
+    ("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴ", "DRTiAJEWMHGZVSLCPKB"),
 ]
 #: Not drawn: the Unicode property Default_Ignorable_Code_Point, as ranges.
 NOT_DRAWN = [
@@ -90,21 +97,42 @@ def visual_form_column(text: Column, fold_case: bool = False) -> Column:
     return F.coalesce(udf(F.when(text.rlike(r"[^\x00-\x7F]"), text)), plain)
 
 
+def _two_hashes(c: Column) -> Column:
+    return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b"))
+
+
+def shared_forms(docs: DataFrame, doc_id: str, text: str) -> Stored:
+    """(``id``, ``t``, ``f``) of the documents whose form belongs to more than one text; ``t`` and ``f`` are two 64-bit
+    hashes of the text and of its form."""
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), _two_hashes(F.col(text)).alias("t"), visual_form_column(F.col(text)).alias("form"))
+    rows = store(rows.select("id", "t", _two_hashes(F.col("form")).alias("f")), "forms").df
+    many = rows.groupBy("f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("f")
+    return store(rows.join(store(many, "shared-forms").hinted(), "f", "left_semi"), "members")
+
+
 def lookalike_pairs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id_a`` < ``doc_id_b`` of documents whose texts have one form but are not the same characters.
 
-    Forms and texts are compared by two 64-bit hashes each. Only forms with more than one text go on; their distinct
-    texts are paired, and each pair is then filled with the documents that have either text, so that exact copies of
-    one text, however many, are never compared with each other.
+    Only forms with more than one text go on; their distinct texts are paired, and each pair is then filled with the
+    documents that have either text, so that exact copies of one text, however many, are never compared with each
+    other. :func:`lookalike_classes` says the same in one row per document.
     """
-    two = lambda c: F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b"))
-    rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), two(F.col(text)).alias("t"), visual_form_column(F.col(text)).alias("form"))
-    rows = store(rows.select("id", "t", two(F.col("form")).alias("f")), "forms").df
-    many = rows.groupBy("f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("f")
-    many = store(many, "shared-forms")
-    members = store(rows.join(many.hinted(), "f", "left_semi"), "members").df
-    texts = members.select("f", "t").distinct()
-    pairs = texts.select("f", F.col("t").alias("t1")).join(texts.select("f", F.col("t").alias("t2")), "f").filter("t1 < t2")
-    left = pairs.join(members.select("f", F.col("t").alias("t1"), F.col("id").alias("i1")), ["f", "t1"])
-    both = left.join(members.select("f", F.col("t").alias("t2"), F.col("id").alias("i2")), ["f", "t2"])
+    members = shared_forms(docs, doc_id, text)
+    # Hashes do not compress, so the stored size is close to that in memory; beyond the limit joins are shuffled.
+    side = lambda df: F.broadcast(df) if members.small() else df.hint("merge")
+    texts = members.df.select("f", "t").distinct()
+    pairs = texts.select("f", F.col("t").alias("t1")).join(side(texts.select("f", F.col("t").alias("t2"))), "f").filter("t1 < t2")
+    left = pairs.join(side(members.df.select("f", F.col("t").alias("t1"), F.col("id").alias("i1"))), ["f", "t1"])
+    both = left.join(side(members.df.select("f", F.col("t").alias("t2"), F.col("id").alias("i2"))), ["f", "t2"])
     return both.select(F.least("i1", "i2").alias("doc_id_a"), F.greatest("i1", "i2").alias("doc_id_b"))
+
+
+def lookalike_classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row per document of a form with more than one text: ``doc_id``, ``class_id`` (its smallest document) and
+    ``n_links``, the documents that look the same with other characters. Copies are counted, never paired."""
+    members = shared_forms(docs, doc_id, text)
+    per_text = members.df.groupBy("f", "t").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    w = W.partitionBy("f")  # over the distinct texts of a form
+    per_text = per_text.select("f", "t", F.min("least").over(w).alias("class_id"), (F.sum("n").over(w) - F.col("n")).alias("n_links"))
+    per_text = store(per_text, "classes")
+    return members.df.join(F.broadcast(per_text.df) if per_text.small() else per_text.df.hint("merge"), ["f", "t"]).select(F.col("id").alias(doc_id), "class_id", "n_links")
