@@ -4,7 +4,7 @@ import pytest
 
 from compare import connect, rows
 
-MODULES = ["snapshots", "market", "strategy", "text", "models"]
+MODULES = ["snapshots", "market", "strategy", "text", "events", "models"]
 CASES = [(m, q) for m in MODULES for q in importlib.import_module(f"tidemark.plans.{m}_sql").ORACLE]
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+# Fixed value: a press release's place and date.
+DATE_LINE = r"[A-Z][A-Z\s]+[,.]?\s+[A-Z][a-z]+\.?\s*(—|--|–)\s*[A-Z][a-z]+\s+\d{1,2}\s*,?\s*20\d{2}\s*"
+
 # Boilerplate, removed in this order, letter case ignored, each match replaced by a blank.
 BOILERPLATE = [
     r"image\s*source\s*:\s*the\s+motley\s+fool\s*\.\s*",
@@ -24,7 +27,7 @@ BOILERPLATE = [
     r"©\s*20\d{2}\s*All\s+rights\s+reserved\s*\.\s*",
     r"Exhibit\s+99\.\d\s*",
     r"FOR\s+IMMEDIATE\s+RELEASE\s*",
-    r"[A-Z][A-Z\s]+[,.]?\s+[A-Z][a-z]+\.?\s*(—|--|–)\s*[A-Z][a-z]+\s+\d{1,2}\s*,?\s*20\d{2}\s*",
+    DATE_LINE,
     r"Item\s+\d+\.\d+\s+[A-Za-z\s]+(and\s+)?[A-Za-z\s]+",
     r"(This|The)\s+(press\s+release|communication|report|filing|document|call|presentation)\s+(contains|includes|may\s+contain)\s+(forward[\s-]*looking|\"forward-looking\")\s+statements.*?actual\s+results\s+(could|may|might|will|to)\s+(differ|vary|be)\s+[^.?!]*[.?!]",
     r"(This|The)\s+(call|conference|presentation)\s+(contains|includes|may\s+contain)\s+forward[\s-]*looking\s+statements[^.?!]*[.?!]",
@@ -50,7 +53,6 @@ BOILERPLATE = [
     r"Question[\s-]*and[\s-]*Answer\s+Session\s*",
     r"&(amp|lt|gt|quot|apos|nbsp);",
 ]
-DATE_LINE = BOILERPLATE[20]
 
 # Phrases that mark a line as boilerplate.
 BOILERPLATE_PHRASES = [
@@ -73,10 +75,7 @@ MODERATOR = r"\boperator\b|\bcoordinator\b|\bmoderator\b"
 QUESTIONS_BEGIN = r"question[-\s]*and[-\s]*answer|q\s*&\s*a\s+session|first\s+question|begin\s+the\s+question|open\s+the\s+(call|line|floor)s?\s+for\s+question|take\s+(our|your|the)\s+first\s+question|question[-\s]*answer\s+session"
 HEDGES = r"\b(?:i\s+think|we\s+believe|sort\s+of|kind\s+of|it\s+depends|too\s+early\s+to|we'?ll\s+(?:have\s+to\s+)?see|hard\s+to\s+say|difficult\s+to\s+(?:say|predict|estimate)|not\s+going\s+to\s+(?:comment|guide|speculate)|can'?t\s+comment|won'?t\s+comment|we\s+don'?t\s+(?:guide|disclose|break\s+out)|as\s+i\s+(?:said|mentioned)|remains?\s+to\s+be\s+seen|wait\s+and\s+see)\b"
 
-# Small lexicons of our own; callers pass the published ones.
+# Small lexicons of our own for the tables at hand; callers pass the published ones.
 POSITIVE = ["gain", "gains", "improve", "improved", "improving", "strong", "stronger", "better", "boost", "grew", "growth", "helped", "lifted", "beat", "favorable", "efficient", "opportunity", "profitable", "strengthened", "accelerated"]
 NEGATIVE = ["loss", "losses", "decline", "declined", "weak", "weaker", "slow", "slower", "slowed", "hurt", "fell", "slipped", "dropped", "delayed", "risk", "risks", "cut", "uncertainty", "uncertainties", "unavoidable"]
-UNCERTAIN = ["may", "might", "could", "depends", "approximately", "uncertain", "uncertainty", "uncertainties", "assumes", "assume", "believe", "possible"]
 VALENCE = {"strong": 2.3, "better": 1.9, "helped": 1.7, "boost": 1.7, "thank": 1.5, "improved": 2.1, "good": 1.9, "fair": 1.3, "confident": 2.2, "favorable": 2.0, "hurt": -2.4, "weak": -1.9, "hard": -0.4, "lost": -1.3, "cut": -1.1, "risk": -1.1, "delayed": -0.9, "loss": -1.3, "unavoidable": -0.8, "tough": -0.5}
-BOOSTERS = {"very": 0.293, "really": 0.293, "almost": -0.293, "nearly": -0.293, "less": -0.293, "more": 0.293}
-NEGATIONS = ["not", "no", "never", "without", "cannot", "can't", "won't", "don't", "isn't"]

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import html
-import math
-import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,39 +98,47 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z']+)"), 1)
 
 
-def lexicon_counts(c: Column, positive: list[str] = P.POSITIVE, negative: list[str] = P.NEGATIVE, uncertain: list[str] = P.UNCERTAIN) -> Column:
-    """Counts and ratios over positive + negative + 1."""
+def lexicon_counts(c: Column, positive: list[str] = P.POSITIVE, negative: list[str] = P.NEGATIVE) -> Column:
+    """Counts and ratios over positive + negative + 1. The finer categories are part of the row and always 0.
+
+    Long lists are looked up by hash.
+    """
     n = lambda ts, lex: F.size(F.filter(ts, lambda t: t.isin(lex)))
 
-    def ratios(x: Column) -> Column:
+    def row(x: Column) -> Column:
         p, q = x["p"], x["q"]
-        return F.struct(p.alias("lm_positive"), q.alias("lm_negative"), x["u"].alias("lm_uncertainty"), ((p - q) / (p + q + 1)).alias("lm_net"), (p / (p + q + 1)).alias("lm_pos_ratio"), (q / (p + q + 1)).alias("lm_neg_ratio"))
+        ratio = lambda v: v / (p + q + 1)
+        return F.struct(p.alias("lm_positive"), q.alias("lm_negative"), *[F.lit(0).alias(f"lm_{k}") for k in ("uncertainty", "litigious", "constraining", "strong_modal", "weak_modal")], ratio(p - q).alias("lm_net"), ratio(p).alias("lm_pos_ratio"), ratio(q).alias("lm_neg_ratio"))
 
-    counts = bound(tokens(c), lambda ts: F.struct(n(ts, positive).alias("p"), n(ts, negative).alias("q"), n(ts, uncertain).alias("u")))
-    return bound(counts, ratios)
+    return bound(bound(tokens(c), lambda ts: F.struct(n(ts, positive).alias("p"), n(ts, negative).alias("q"))), row)
 
 
-def readability(c: Column) -> Column:
-    """Five published scores from counts of words, sentences, syllables (vowel groups) and letters; 0 without words."""
+def readability(c: Column, familiar: list[str] | None = None) -> Column:
+    """Six published scores from counts of words, sentences, syllables (vowel groups), letters and words that are not
+    ``familiar`` (without a list: of three syllables or more); 0 without words."""
     syllables = lambda w: F.greatest(F.lit(1), F.regexp_count(w, F.lit("[aeiouy]+")))
     total = lambda arr, of: F.aggregate(arr, F.lit(0), lambda a, x: a + of(x)).cast("double")
 
     def counts(t: Column) -> Column:
-        return F.struct(F.size(t).cast("double").alias("n"), total(t, F.length).alias("letters"), F.transform(t, syllables).alias("syl"))
+        strange = F.size(F.filter(t, lambda w: ~w.isin(familiar))) if familiar is not None else F.lit(None).cast("int")
+        return F.struct(F.size(t).cast("double").alias("n"), total(t, F.length).alias("letters"), F.transform(t, syllables).alias("syl"), strange.alias("strange"))
 
     def sums(x: Column) -> Column:
         s = F.greatest(F.lit(1), F.size(sentences(c))).cast("double")
-        return F.struct(x["n"].alias("n"), s.alias("s"), total(x["syl"], lambda y: y).alias("y"), F.size(F.filter(x["syl"], lambda y: y >= 3)).cast("double").alias("hard"), x["letters"].alias("letters"))
+        hard = F.size(F.filter(x["syl"], lambda y: y >= 3))
+        return F.struct(x["n"].alias("n"), s.alias("s"), total(x["syl"], lambda y: y).alias("y"), hard.cast("double").alias("hard"), x["letters"].alias("letters"), F.coalesce(x["strange"], hard).cast("double").alias("strange"))
 
     def scores(x: Column) -> Column:
-        n, s, y, hard, letters = (x[k] for k in ("n", "s", "y", "hard", "letters"))
+        n, s, y, hard, letters, strange = (x[k] for k in ("n", "s", "y", "hard", "letters", "strange"))
         ok = lambda e: F.when(n > 0, e).otherwise(0.0)
+        share = 100 * strange / n
         return F.struct(
             ok(206.835 - 1.015 * n / s - 84.6 * y / n).alias("flesch_reading_ease"),
             ok(0.39 * n / s + 11.8 * y / n - 15.59).alias("flesch_kincaid_grade"),
             ok(0.4 * (n / s + 100 * hard / n)).alias("gunning_fog"),
             ok(1.043 * F.sqrt(30 * hard / s) + 3.1291).alias("smog_index"),
             ok(4.71 * letters / n + 0.5 * n / s - 21.43).alias("automated_readability"),
+            ok(0.1579 * share + 0.0496 * n / s + F.when(share > 5, 3.6365).otherwise(0.0)).alias("dale_chall_score"),
         )
 
     return bound(bound(bound(tokens(c), counts), sums), scores)
@@ -143,79 +148,39 @@ def hedges(c: Column) -> Column:
     return F.regexp_count(c, F.lit("(?i)" + spaced(P.HEDGES)))
 
 
-def truncate_words(c: Column, limit: int = 5000, mark: str = " [truncated]") -> Column:
+def truncate_words(c: Column, limit: int = 5000, mark: str = " [TRUNCATED]") -> Column:
     w = words(c)
     return F.when(F.size(w) > limit, F.concat(F.array_join(F.slice(w, 1, limit), " "), F.lit(mark))).otherwise(c)
 
 
+def clean_and_split(c: Column) -> Column:
+    """The sections of a text, each cleaned; cleaning comes last, as it takes the marks between them away."""
+    x = split_sections(c)
+    return F.struct(*[F.when(x[k].isNotNull(), clean_transcript(x[k])).alias(k) for k in ("prepared", "qa", "full")])
+
+
 def sentence_groups(c: Column, k: int = 5) -> Column:
     s = F.transform(sentences(c), strip)
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)), F.lit(k)), lambda i: F.array_join(F.slice(s, i + 1, k), ". "))
+    at = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)), F.lit(k))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.array_join(F.slice(s, i + 1, k), ". "))
 
 
 def pack_sentences(c: Column, most: int = 256) -> Column:
-    """Chunks of whole sentences, filled in order up to ``most`` words each."""
-
-    def pack(texts: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            out, held, n = [], [], 0
-            for s in re.split(r"(?<=[.!?])\s+", t.strip()):
-                k = len(s.split())
-                if held and n + k > most:
-                    out.append(" ".join(held))
-                    held, n = [], 0
-                if k:
-                    held.append(s)
-                    n += k
-            return out + [" ".join(held)] if held else out
-
-        return texts.map(one)
-
-    return F.pandas_udf(pack, "array<string>")(c)
-
-
-def polarity(text: str, valence: dict[str, float], boosters: dict[str, float], negations: frozenset[str]) -> tuple[float, float, float, float]:
-    """compound, pos, neg, neu: word valences, raised or lowered by a booster before, turned by a negation in the three
-    words before, normalised by s / sqrt(s * s + 15), with up to four exclamation marks as emphasis."""
-    ws = re.findall(r"[a-z']+", text.lower())
-    scores = []
-    for i, w in enumerate(ws):
-        v = valence.get(w, 0.0)
-        if v:
-            if i and ws[i - 1] in boosters:
-                v += math.copysign(boosters[ws[i - 1]], v) if boosters[ws[i - 1]] > 0 else -math.copysign(-boosters[ws[i - 1]], v)
-            if any(x in negations for x in ws[max(0, i - 3) : i]):
-                v *= -0.74
-        scores.append(v)
-    if not scores:
-        return 0.0, 0.0, 0.0, 0.0
-    total = sum(scores)
-    bang = min(text.count("!"), 4) * 0.292
-    total += math.copysign(bang, total) if total else 0.0
-    pos = sum(v + 1 for v in scores if v > 0)
-    neg = sum(-v + 1 for v in scores if v < 0)
-    neu = float(sum(v == 0 for v in scores))
-    whole = pos + neg + neu
-    return total / math.sqrt(total * total + 15), pos / whole, neg / whole, neu / whole
-
-
-def tone(c: Column, valence: dict[str, float] = P.VALENCE) -> Column:
-    """Whole-text polarity beside its spread over groups of five sentences."""
-    neg = frozenset(P.NEGATIONS)
-
-    def score(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            t = t or ""
-            s = [x for x in re.split(r"[.!?]+", t) if x.strip()]
-            parts = [polarity(" ".join(s[i : i + 5]), valence, P.BOOSTERS, neg)[0] for i in range(0, len(s), 5)] or [0.0]
-            a = pd.Series(parts)
-            rows.append((*polarity(t, valence, P.BOOSTERS, neg), a.mean(), a.std(ddof=0), a.min(), a.max(), a.quantile(0.1), a.quantile(0.9), float((a < -0.05).mean()), float((a > 0.05).mean()), len(s) and len(parts)))
-        return pd.DataFrame(rows, columns=TONE)
-
-    return F.pandas_udf(score, ", ".join(f"{c} double" for c in TONE))(c)
-
-
-TONE = ["compound", "pos", "neg", "neu", "mean", "std", "min", "max", "p10", "p90", "pct_neg", "pct_pos", "n_chunks"]
+    """Chunks of whole sentences, filled in order up to ``most`` words each; a longer sentence is a chunk of its own.
+
+    A fold finds the sentences that begin a chunk; it grows by one entry per chunk, not per sentence.
+    """
+    s = F.filter(F.split(strip(c), rf"(?<=[.!?]){SPACE}+"), lambda x: x != "")
+
+    def starts(parts: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            n, i = F.size(words(x)), acc["i"]
+            new = (acc["n"] == 0) | (acc["n"] + n > most)
+            return F.struct(F.when(new, F.concat(acc["at"], F.array(i))).otherwise(acc["at"]).alias("at"), F.when(new, n).otherwise(acc["n"] + n).alias("n"), (i + 1).alias("i"))
+
+        zero = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n"), F.lit(0).alias("i"))
+        at = F.aggregate(parts, zero, step, lambda a: a["at"])
+        join = lambda at: F.transform(at, lambda a, k: F.array_join(F.slice(parts, a + 1, F.coalesce(F.get(at, k + 1), F.size(parts)) - a), " "))
+        return bound(at, join)
+
+    return bound(s, starts)

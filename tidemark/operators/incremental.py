@@ -36,15 +36,18 @@ def after_cutoff(candidates: DataFrame, existing: DataFrame, by: str, date: str)
     return candidates.join(last, by, "left").filter(F.col("_last").isNull() | (F.col(date) > F.col("_last"))).drop("_last")
 
 
-def stratified_sample(entities: DataFrame, key: str, stratum: str, fraction: float) -> DataFrame:
-    """Whole entities, at least one of each stratum, in the order of a digest of their key.
+def stratified_sample(entities: DataFrame, key: str, stratum: str, n: int) -> DataFrame:
+    """About ``n`` whole entities: of each stratum its share, at least one, in the order of a digest of their key; of these,
+    strata by name, no more than ``n``.
 
     A distributed rank would only matter for strata of very many entities; entities here are a list of names.
     """
     w = W.partitionBy(stratum)
     x = entities.select(key, stratum).distinct()
-    n = F.row_number().over(w.orderBy(F.md5(key), key))
-    return x.withColumn("_n", n).withColumn("_k", F.greatest(F.lit(1), F.bround(F.count("*").over(w) * fraction).cast("int"))).filter("_n <= _k").drop("_n", "_k")
+    share = F.least(F.lit(1.0), F.lit(float(n)) / F.greatest(F.count("*").over(W.partitionBy()), F.lit(1)))
+    x = x.withColumn("_n", F.row_number().over(w.orderBy(F.md5(key), key)))
+    x = x.withColumn("_k", F.greatest(F.lit(1), F.bround(F.count("*").over(w) * share).cast("int"))).filter("_n <= _k")
+    return x.orderBy(stratum, "_n").limit(n).select(key, stratum)
 
 
 def fiscal_quarter(df: DataFrame, date: str, rules: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.exprs import bound
 from ..functions.text import hedges, spaced, strip, words
 
 TURNS = "array<struct<speaker:string,text:string>>"
@@ -22,15 +23,18 @@ def normalize_turns(json: Column) -> Column:
 def turns_of_lines(text: Column) -> Column:
     """Turns of a section whose lines begin with a speaker and a colon; other lines continue the turn before."""
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
-    one = lambda x: F.struct(F.when(F.rlike(x, F.lit(SPEAKER_LINE)), F.regexp_extract(x, SPEAKER_LINE, 1)).otherwise("").alias("speaker"), F.when(F.rlike(x, F.lit(SPEAKER_LINE)), F.regexp_extract(x, SPEAKER_LINE, 2)).otherwise(x).alias("text"))
-    start = F.from_json(F.lit("[]"), TURNS)
-
-    def add(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["speaker"].alias("speaker"), F.concat_ws(" ", F.when(last["text"] != "", last["text"]), x["text"]).alias("text"))))
-        return F.when((x["speaker"] == "") & (F.size(acc) > 0), joined).otherwise(F.concat(acc, F.array(x)))
-
-    return F.coalesce(F.aggregate(F.transform(lines, one), start, add), start)
+    named = lambda x: F.rlike(x, F.lit(SPEAKER_LINE))
+    part = lambda x, i: F.regexp_extract(x, SPEAKER_LINE, i)
+    one = lambda x: F.when(named(x), F.struct(part(x, 1).alias("speaker"), part(x, 2).alias("text"))).otherwise(F.struct(F.lit("").alias("speaker"), x.alias("text")))
+    none = F.from_json(F.lit("[]"), TURNS)
+
+    def gather(rows: Column) -> Column:
+        begins = F.filter(F.transform(rows, lambda x, i: F.when((i == 0) | (x["speaker"] != ""), i)), lambda i: i.isNotNull())
+        said = lambda a, z: F.array_join(F.filter(F.transform(F.slice(rows, a + 1, z - a), lambda x: x["text"]), lambda t: t != ""), " ")
+        turn = lambda at: F.transform(at, lambda a, k: F.struct(F.get(rows, a)["speaker"].alias("speaker"), said(a, F.coalesce(F.get(at, k + 1), F.size(rows))).alias("text")))
+        return bound(begins, turn)
+
+    return F.coalesce(bound(F.transform(lines, one), gather), none)
 
 
 def name_key(speaker: Column) -> Column:

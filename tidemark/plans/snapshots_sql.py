@@ -57,3 +57,28 @@ ORACLE["p7_features"] = (
   (SELECT max(round(vix_close, 4)) FROM vix WHERE date = known.vix_date AND NOT isnan(vix_close)) AS vix_close
 FROM known"""
 )
+
+# The ledger by its definition: every assertion, until the next of its cell; the end of a day's interval is the nearest
+# later day first recorded by then.
+CELLS = """WITH e AS (SELECT upper(trim(ticker)) AS ticker, lower(trim(period)) AS period, snap_date AS d, loaded_at AS r, true AS present,
+  round(CASE WHEN NOT isnan(eps_current) THEN eps_current END, 4) + 0.0 AS a, round(CASE WHEN NOT isnan(est_eps_avg) THEN est_eps_avg END, 4) + 0.0 AS b FROM estimate_snapshot),
+s AS (SELECT upper(trim(ticker)) AS ticker, snap_date AS d, date_trunc('day', min(loaded_at)) + INTERVAL 1 DAY AS r FROM analyst_snapshot GROUP BY 1, 2),
+al AS (SELECT * FROM e UNION ALL SELECT ticker, period, d, r, false, NULL, NULL FROM s JOIN (SELECT DISTINCT ticker, period FROM e) USING (ticker)),
+o AS (SELECT * REPLACE (coalesce(r, TIMESTAMP '1970-01-01') AS r) FROM al WHERE ticker IS NOT NULL AND period IS NOT NULL AND d IS NOT NULL),
+u AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY ticker, period, d, r ORDER BY present DESC, a DESC NULLS LAST, b DESC NULLS LAST) = 1),
+n AS (SELECT * FROM u QUALIFY present OR row_number() OVER (PARTITION BY ticker, period, d ORDER BY r) = 1),
+c AS (SELECT * FROM n WINDOW w AS (PARTITION BY ticker, period, d ORDER BY r) QUALIFY row_number() OVER w = 1 OR lag(present) OVER w <> present OR lag(a) OVER w IS DISTINCT FROM a OR lag(b) OVER w IS DISTINCT FROM b),
+chain AS (SELECT *, coalesce(lead(r) OVER w, TIMESTAMP '9999-12-31') AS until FROM c WINDOW w AS (PARTITION BY ticker, period, d ORDER BY r)),
+f AS (SELECT ticker, period, d, min(r) AS f FROM chain GROUP BY 1, 2, 3),
+p AS (SELECT x.ticker, x.period, x.d, x.f AS first, y.d AS d2, y.f AS f2 FROM f x LEFT JOIN f y ON y.ticker = x.ticker AND y.period = x.period AND y.d > x.d),
+st AS (SELECT DISTINCT ticker, period, d, first AS since FROM p UNION SELECT DISTINCT ticker, period, d, f2 FROM p WHERE f2 > first),
+en AS (SELECT st.ticker, st.period, st.d, since, coalesce(min(d2) FILTER (f2 <= since), DATE '9999-12-31') AS until_day FROM st JOIN p USING (ticker, period, d) GROUP BY ALL),
+ch AS (SELECT * FROM en WINDOW w AS (PARTITION BY ticker, period, d ORDER BY since) QUALIFY lag(until_day) OVER w IS DISTINCT FROM until_day),
+steps AS (SELECT *, coalesce(lead(since) OVER w, TIMESTAMP '9999-12-31') AS upto FROM ch WINDOW w AS (PARTITION BY ticker, period, d ORDER BY since)),
+led AS (SELECT chain.*, until_day, greatest(r, since) AS rf, least(until, upto) AS rt FROM chain JOIN steps USING (ticker, period, d))
+"""
+ORACLE["p4_ledger"] = (
+    CELLS
+    + """SELECT ticker, period, strftime(d, '%Y-%m-%d') AS valid_from, strftime(until_day, '%Y-%m-%d') AS valid_to, strftime(rf, '%Y-%m-%d %H:%M:%S') AS recorded_from, strftime(rt, '%Y-%m-%d %H:%M:%S') AS recorded_to, present, a AS eps_current, b AS est_eps_avg
+FROM led WHERE rf < rt"""
+)

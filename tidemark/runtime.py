@@ -17,20 +17,47 @@ BROADCAST_BYTES = 32 << 20
 STORED_FACTOR = 4
 
 
+_OWN: dict[str, str] = {}  # folders made for local sessions without the setting, by application
+_MADE: dict[str, list[str]] = {}  # what each application has written
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Only a local session without the setting gets one of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tidemark-")
+        _OWN[spark.sparkContext.applicationId] = where
     return where.rstrip("/")
 
 
-def _size(spark: SparkSession, path: str) -> int:
+def _at(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what is written there goes when the application ends, or with :func:`release`."""
+    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    p, fs = _at(spark, path)
+    fs.deleteOnExit(p)
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this application; frames that still read them are of no more use."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        p, fs = _at(spark, path)
+        fs.delete(p, True)
+    return len(made)
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    p, fs = _at(spark, path)
+    return fs.getContentSummary(p).getLength()
 
 
 class Stored:
@@ -52,16 +79,20 @@ class Stored:
 def store(df: DataFrame, name: str = "t") -> Stored:
     """Write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return Stored(spark, path, df.schema)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """For costly work on few rows: an input in fewer partitions than there are cores is dealt out over all of them.
-    Inputs of any size that fills the cores are left as they are, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, source: str) -> DataFrame:
+    """For costly work on few rows: rows of a file too small to give every core a part are dealt out over all of them.
+
+    The size of ``source``, the path that is read, tells; inputs that fill the cores are left as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    part = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(cores) if _size(spark, source) < cores * part else df
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql import functions as F
 
-from ..runtime import shared_dir
+from ..runtime import latest, new_path
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 64) -> DataFrame:
@@ -40,7 +39,7 @@ def run_once(stream: DataFrame, keys: list[str] | None = None, mode: str = "appe
     if mode not in ("append", "complete"):
         raise ValueError(f"batches of mode {mode} would have to be merged by key")
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}"
+    root = new_path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         part = "all" if mode == "complete" else number
@@ -49,3 +48,60 @@ def run_once(stream: DataFrame, keys: list[str] | None = None, mode: str = "appe
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{root}/out")
+
+
+def upsert_once(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Process what is there as an upsert: of each key the row with the greatest ``order`` over all batches.
+
+    Each batch writes the merged table under its own number and reads the one before it, so a batch repeated after a
+    failure gives the same result, and late batches do not overwrite later values.
+    """
+    spark = stream.sparkSession
+    root = new_path(spark, "upsert")
+    last: list[str] = []
+
+    def merge(batch: DataFrame, number: int) -> None:
+        kept = [p for p in last if not p.endswith(f"={number}")]
+        rows = spark.read.schema(stream.schema).parquet(kept[-1]).unionByName(batch) if kept else batch
+        latest(rows, keys, order).write.mode("overwrite").parquet(f"{root}/table={number}")
+        last[:] = [*kept, f"{root}/table={number}"]
+
+    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(last[-1]) if last else spark.createDataFrame([], stream.schema)
+
+
+def above_water_mark(stream: DataFrame, existing: DataFrame, by: str, date: str) -> DataFrame:
+    """Rows of a stream later than the last date held for their ``by``; all of those it holds none for."""
+    mark = existing.groupBy(by).agg(F.max(date).alias("_mark"))
+    return stream.join(mark, by, "left").filter(F.col("_mark").isNull() | (F.col(date) > F.col("_mark"))).drop("_mark")
+
+
+class Progress(StreamingQueryListener):
+    """Rows and seconds of each batch, with the mean rate of the last ``window`` batches."""
+
+    def __init__(self, window: int = 20):
+        self.window = window
+        self.batches: list[tuple[int, int, float]] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches.append((p.batchId, p.numInputRows, (p.batchDuration or 0) / 1000))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def rate(self) -> float:
+        """Rows a second over the last batches; 0 before any."""
+        held = self.batches[-self.window :]
+        return sum(n for _, n, _ in held) / max(sum(s for *_, s in held), 1e-9) if held else 0.0
+
+    def seconds_left(self, rows: int) -> float | None:
+        r = self.rate()
+        return rows / r if r else None
