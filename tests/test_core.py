@@ -260,6 +260,6 @@ def test_search_tries_the_grid_before_the_predicted_folds(spark):
 
 
 def test_boosting_has_all_rounds(spark):
-    for m in (L.boosted()(9), L.boosted(classify=True)(9)):
+    for m in (L.boosted()(9, 1.0), L.boosted(classify=True)(9, 1.0)):
         assert (m.getMaxIter(), m.getStepSize()) == (300, 0.05)
-    assert L.boosted(maxIter=7)(9).getMaxIter() == 7
+    assert L.boosted(maxIter=7)(9, 1.0).getMaxIter() == 7

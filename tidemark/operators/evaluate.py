@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import average_rank, pct_rank, quantile_bin
+from ..runtime import store
 
 
 def rank_ic(df: DataFrame, by: str, least: int = 5, score: str = "score", actual: str = "actual") -> DataFrame:
@@ -26,12 +27,9 @@ def decile_means(df: DataFrame, order: list[str], bins: int = 10) -> DataFrame:
     The rank over all rows is made by range-partitioned counting: rows are sorted in parallel by value and numbered by
     the counts of the value ranges before them.
     """
-    x = df.dropna(subset=["score", "actual"])
-    edges = F.percentile_approx("score", F.array(*[F.lit(k / 64) for k in range(1, 64)]), 10000)
-    cut = x.agg(edges.alias("_e"))
-    x = x.join(F.broadcast(cut)).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col("score")))).drop("_e")
+    x = ranges(df.dropna(subset=["score", "actual"]), "score")
     per = x.groupBy("_b").agg(F.count("*").alias("_c"))
-    w = W.orderBy("_b")  # at most 64 rows
+    w = W.orderBy("_b")  # a row per range
     per = per.withColumn("_before", F.sum("_c").over(w) - F.col("_c")).withColumn("_n", F.sum("_c").over(W.partitionBy()))
     x = x.join(F.broadcast(per), "_b").withColumn("_r", F.col("_before") + F.row_number().over(W.partitionBy("_b").orderBy("score", *order)))
     return x.groupBy(quantile_bin(F.col("_r"), F.col("_n"), bins).alias("decile")).agg(F.count("*").alias("n"), F.avg("actual").alias("mean_actual"))
@@ -53,7 +51,7 @@ def regression_quality(df: DataFrame) -> DataFrame:
     mean = x.agg(F.avg("actual").alias("_m"))
     x = x.join(F.broadcast(mean))  # one row
     err = F.pow(F.col("actual") - F.col("score"), 2)
-    return x.agg(F.count("*").alias("n"), F.sqrt(F.avg(err)).alias("rmse"), (1 - F.try_divide(F.sum(err), F.sum(F.pow(F.col("actual") - F.col("_m"), 2)))).alias("r2"), F.avg((F.signum("actual") == F.signum("score")).cast("double")).alias("sign_accuracy"), F.sqrt(F.avg(F.pow("actual", F.lit(2)))).alias("naive_rmse"))
+    return x.agg(F.count("*").alias("n"), F.sqrt(F.avg(err)).alias("rmse"), (1 - F.try_divide(F.sum(err), F.sum(F.pow(F.col("actual") - F.col("_m"), 2)))).alias("r2"), F.avg((F.signum("actual") == F.signum("score")).cast("double")).alias("sign_accuracy"), F.sqrt(F.avg(F.pow(F.col("actual") - F.col("_m"), 2))).alias("naive_rmse"))
 
 
 def confusion(df: DataFrame) -> DataFrame:
@@ -64,13 +62,19 @@ def confusion(df: DataFrame) -> DataFrame:
     return out.select("*", F.try_divide(F.expr("tp + tn"), F.expr("tp + fp + fn + tn")).alias("accuracy"), F.try_divide(F.expr("2 * tp"), F.expr("2 * tp + fp + fn")).alias("f1"))
 
 
+def ranges(df: DataFrame, c: str, n: int = 256) -> DataFrame:
+    """``df`` with ``_b``, the range of ``c`` each row falls in, cut at approximate quantiles of the data."""
+    cut = df.agg(F.percentile_approx(c, F.array(*[F.lit(k / n) for k in range(1, n)]), 10000).alias("_e"))
+    return df.join(F.broadcast(cut)).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(c)))).drop("_e")  # one row
+
+
 def roc_auc(df: DataFrame) -> DataFrame:
     """Area under the curve by the rank sum, from counts per distinct score, so no global sort of rows is needed."""
     x = df.dropna(subset=["score", "actual"]).groupBy("score").agg(F.sum((F.col("actual") > 0).cast("bigint")).alias("p"), F.sum((F.col("actual") <= 0).cast("bigint")).alias("q"))
-    x = x.withColumn("_k", F.floor(F.col("score") * 64))  # coarse cells first, then scores within a cell
-    cell = x.groupBy("_k").agg(F.sum("q").alias("_cq"))
-    cell = cell.withColumn("_below", F.sum("_cq").over(W.orderBy("_k")) - F.col("_cq")).drop("_cq")
-    x = x.join(cell, "_k").withColumn("_in", F.sum("q").over(W.partitionBy("_k").orderBy("score")) - F.col("q"))
+    x = ranges(store(x, "scores").df, "score")
+    cell = x.groupBy("_b").agg(F.sum("q").alias("_cq"))
+    cell = cell.withColumn("_below", F.sum("_cq").over(W.orderBy("_b")) - F.col("_cq")).drop("_cq")  # a row per range
+    x = x.join(F.broadcast(cell), "_b").withColumn("_in", F.sum("q").over(W.partitionBy("_b").orderBy("score")) - F.col("q"))
     return x.agg(F.try_divide(F.sum(F.col("p") * (F.col("_below") + F.col("_in") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.exprs import average_rank, clip, pct_rank, rolling_avg
 from ..operators import market as M
 from ..operators.asof import asof_backward, asof_legacy, asof_nearest
+from ..operators.relational import exact_quantiles
 from ..operators.panel import expanding_z, past_stats, qoq, streak
-from ..runtime import latest
+from ..runtime import latest, store
 from ..sources.tables import day, lowered, number, read, ticker
 
 BENCHMARK = "BMKIDX"
@@ -83,9 +84,9 @@ def robust_event_summary(spark, d):
 
 
 def describe_returns(spark, d):
-    x = _event_returns(spark, d)
-    q = F.percentile("abnormal_30d", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = x.agg(F.count("abnormal_30d").alias("n"), F.avg("abnormal_30d").alias("mean"), F.stddev_samp("abnormal_30d").alias("std"), F.min("abnormal_30d").alias("min"), q.alias("q"), F.max("abnormal_30d").alias("max"))
+    x = store(_event_returns(spark, d).select("abnormal_30d"), "returns").df
+    out = x.agg(F.count("abnormal_30d").alias("n"), F.avg("abnormal_30d").alias("mean"), F.stddev_samp("abnormal_30d").alias("std"), F.min("abnormal_30d").alias("min"), F.max("abnormal_30d").alias("max"))
+    out = out.join(F.broadcast(exact_quantiles(x, "abnormal_30d", [0.25, 0.5, 0.75])))  # one row each
     return out.select("n", r6("mean"), r6("std"), r6("min"), *[r6(F.col("q")[i], f"q{25 * (i + 1)}") for i in range(3)], r6("max"))
 
 

@@ -11,6 +11,7 @@ from ..operators import evaluate as V
 from ..operators import market as M
 from ..operators import portfolio as P
 from ..operators import regime as R
+from ..operators.relational import exact_quantiles
 from ..runtime import store
 from ..sources.tables import day, lowered, number, read, ticker
 from .market import BENCHMARK, cal, panel, prices, r6, sector, vix
@@ -229,6 +230,10 @@ def decile_spread_qcut(spark, d):
     return x.select("decile", "n", r6("mean_actual"))
 
 
+def decile_spread_bps(spark, d):
+    return V.spread_bps(V.decile_means(predictions(spark, d), ["ticker", "quarter", "year"])).select(r6("spread_bps"))
+
+
 def decile_spread_pct(spark, d):
     return V.pct_deciles(predictions(spark, d), "month").select("decile", "n", r6("mean_actual"))
 
@@ -246,8 +251,7 @@ def roc_auc(spark, d):
 
 
 def winsor_bounds(spark, d):
-    q = F.percentile("actual", F.array(F.lit(0.01), F.lit(0.99)))
-    return predictions(spark, d).agg(q.alias("q")).select(r6(F.col("q")[0], "low"), r6(F.col("q")[1], "high"))
+    return exact_quantiles(predictions(spark, d), "actual", [0.01, 0.99]).select(r6(F.col("q")[0], "low"), r6(F.col("q")[1], "high"))
 
 
 def mi_ranking(spark, d):
@@ -255,9 +259,13 @@ def mi_ranking(spark, d):
 
 
 def verdict(spark, d):
-    x = V.ic_summary(V.rank_ic(predictions(spark, d), "month"))
+    """All measures of a run in one row, with a word on what they say."""
+    p = store(predictions(spark, d), "predictions").df
+    one = lambda x: F.broadcast(x)  # noqa: E731  one row each
+    x = V.ic_summary(V.rank_ic(p, "month")).select("mean_ic", "t")
+    x = x.join(one(V.regression_quality(p).select("rmse", "sign_accuracy"))).join(one(V.spread_bps(V.decile_means(p, ["ticker", "quarter", "year"])))).join(one(V.roc_auc(p)))
     say = F.when((F.abs("t") >= 2) & (F.col("mean_ic") > 0), "usable").when(F.col("mean_ic") > 0, "weak").otherwise("none")
-    return x.select(r6("mean_ic"), r6("t"), say.alias("verdict"))
+    return x.select(*[r6(c) for c in ("rmse", "sign_accuracy", "mean_ic", "t", "spread_bps", "auc")], say.alias("verdict"))
 
 
-QUERIES = {f.__name__: f for f in (signal_breadth, regime_gate, regime_credit, regime_summary, regime_stress, regime_forward, event_decay, momentum_daily, ensemble_scores, ensemble_gated, ensemble_as_of, ensemble_summary, size_one_date, size_deciles, size_deciles_neutral, size_book, book_stats, backtest_trades, trades_by_month, event_pnl, portfolio_metrics, drawdown, rolling_sharpe, cutoff_sensitivity, leg_decomposition, monthly_long_short, monthly_ic, ic_summary, ic_paired_t, decile_spread_qcut, decile_spread_pct, regression_quality, confusion, roc_auc, winsor_bounds, mi_ranking, verdict)}
+QUERIES = {f.__name__: f for f in (signal_breadth, regime_gate, regime_credit, regime_summary, regime_stress, regime_forward, event_decay, momentum_daily, ensemble_scores, ensemble_gated, ensemble_as_of, ensemble_summary, size_one_date, size_deciles, size_deciles_neutral, size_book, book_stats, backtest_trades, trades_by_month, event_pnl, portfolio_metrics, drawdown, rolling_sharpe, cutoff_sensitivity, leg_decomposition, monthly_long_short, monthly_ic, ic_summary, ic_paired_t, decile_spread_qcut, decile_spread_bps, decile_spread_pct, regression_quality, confusion, roc_auc, winsor_bounds, mi_ranking, verdict)}

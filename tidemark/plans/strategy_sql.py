@@ -167,8 +167,9 @@ SELECT {iso("date")}, {r6("gross")}, {r6("gross - (0.002 + 0.005 * 21 / 252)", "
     "ic_summary": f"WITH {PRED}, {ic('score', 'i')}, {SUMMARY.format('i')} SELECT periods, {', '.join(r6(c) for c in ('mean_ic', 'std_ic', 'share_positive', 't'))} FROM summ",
     "ic_paired_t": f"WITH {PRED}, {ic('score', 'i')}, {ic('score2', 'k')}, d AS (SELECT month, i.ic - k.ic AS ic FROM i JOIN k USING (month)), {SUMMARY.format('d')} SELECT periods, {r6('mean_ic', 'mean_diff')}, {r6('t')} FROM summ",
     "decile_spread_qcut": f"WITH {PRED}, r AS (SELECT *, row_number() OVER (ORDER BY score, ticker, quarter, year) AS rn, count(*) OVER () AS n FROM pred WHERE {OK}) SELECT greatest(0, {EDGES} - 1)::INT AS decile, count(*) AS n, {r6('avg(actual)', 'mean_actual')} FROM r GROUP BY 1",
+    "decile_spread_bps": f"WITH {PRED}, r AS (SELECT *, row_number() OVER (ORDER BY score, ticker, quarter, year) AS rn, count(*) OVER () AS n FROM pred WHERE {OK}), m AS (SELECT greatest(0, {EDGES} - 1)::INT AS decile, avg(actual) AS a FROM r GROUP BY 1) SELECT {r6('((SELECT a FROM m WHERE decile = 9) - (SELECT a FROM m WHERE decile = 0)) * 1e4', 'spread_bps')}",
     "decile_spread_pct": f"WITH {PRED}, r AS (SELECT *, {pct('score', 'month')} AS p FROM pred WHERE {OK}) SELECT least(floor(p * 10), 9)::INT AS decile, count(*) AS n, {r6('avg(actual)', 'mean_actual')} FROM r GROUP BY 1",
-    "regression_quality": f"WITH {PRED}, x AS (SELECT *, avg(actual) OVER () AS m FROM pred WHERE {OK}) SELECT count(*) AS n, {r6('sqrt(avg(pow(actual - score, 2)))', 'rmse')}, {r6('1 - sum(pow(actual - score, 2)) / nullif(sum(pow(actual - m, 2)), 0)', 'r2')}, {r6('avg((sign(actual) = sign(score))::INT)', 'sign_accuracy')}, {r6('sqrt(avg(actual * actual))', 'naive_rmse')} FROM x",
+    "regression_quality": f"WITH {PRED}, x AS (SELECT *, avg(actual) OVER () AS m FROM pred WHERE {OK}) SELECT count(*) AS n, {r6('sqrt(avg(pow(actual - score, 2)))', 'rmse')}, {r6('1 - sum(pow(actual - score, 2)) / nullif(sum(pow(actual - m, 2)), 0)', 'r2')}, {r6('avg((sign(actual) = sign(score))::INT)', 'sign_accuracy')}, {r6('sqrt(avg(pow(actual - m, 2)))', 'naive_rmse')} FROM x",
     "confusion": f"""WITH {PRED}, c AS (SELECT count(*) FILTER (score > 0 AND actual > 0) AS tp, count(*) FILTER (score > 0 AND actual <= 0) AS fp, count(*) FILTER (score <= 0 AND actual > 0) AS fn, count(*) FILTER (score <= 0 AND actual <= 0) AS tn FROM pred WHERE {OK})
 SELECT *, {r6("(tp + tn) / nullif(tp + fp + fn + tn, 0)", "accuracy")}, {r6("2 * tp / nullif(2 * tp + fp + fn, 0)", "f1")} FROM c""",
     "roc_auc": f"""WITH {PRED}, r AS (SELECT (actual > 0) AS pos, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk FROM pred WHERE {OK}),
@@ -181,5 +182,8 @@ l AS (SELECT feature, len(list_filter(c, lambda e: e < x)) AS b, len(list_filter
 k AS (SELECT feature, b, t, count(*) AS c FROM l GROUP BY ALL),
 i AS (SELECT feature, c / sum(c) OVER (PARTITION BY feature) * ln(c * sum(c) OVER (PARTITION BY feature) / (sum(c) OVER (PARTITION BY feature, b) * sum(c) OVER (PARTITION BY feature, t))) AS i FROM k)
 SELECT feature, {r6("sum(i)", "mi")} FROM i GROUP BY 1""",
-    "verdict": f"WITH {PRED}, {ic('score', 'i')}, {SUMMARY.format('i')} SELECT {r6('mean_ic')}, {r6('t')}, CASE WHEN abs(t) >= 2 AND mean_ic > 0 THEN 'usable' WHEN mean_ic > 0 THEN 'weak' ELSE 'none' END AS verdict FROM summ",
+    "verdict": f"""WITH {PRED}, {ic('score', 'i')}, {SUMMARY.format('i')}, r AS (SELECT *, row_number() OVER (ORDER BY score, ticker, quarter, year) AS rn, count(*) OVER () AS n FROM pred WHERE {OK}), m AS (SELECT greatest(0, {EDGES} - 1)::INT AS decile, avg(actual) AS a FROM r GROUP BY 1),
+e AS (SELECT sqrt(avg(pow(actual - score, 2))) AS rmse, avg((sign(actual) = sign(score))::INT) AS sign_accuracy FROM pred WHERE {OK}),
+k AS (SELECT (actual > 0) AS pos, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk FROM pred WHERE {OK}), a AS (SELECT (sum(rk) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2) / nullif(count(*) FILTER (pos) * count(*) FILTER (NOT pos), 0) AS auc FROM k)
+SELECT {r6('rmse')}, {r6('sign_accuracy')}, {r6('mean_ic')}, {r6('t')}, {r6('((SELECT a FROM m WHERE decile = 9) - (SELECT a FROM m WHERE decile = 0)) * 1e4', 'spread_bps')}, {r6('auc')}, CASE WHEN abs(t) >= 2 AND mean_ic > 0 THEN 'usable' WHEN mean_ic > 0 THEN 'weak' ELSE 'none' END AS verdict FROM summ, e, a""",
 }
