@@ -36,6 +36,8 @@ def date_folds(df: DataFrame, date: str, k: int, start: float = 0.4) -> DataFram
     return df.join(F.broadcast(test), date, "left").fillna({"fold": 0})  # one row per day
 
 
+#: Stored bytes of a task's part of the training rows, at least.
+PART_BYTES = 4 << 20
 #: Makes an estimator from the number of training rows and the population deviation of their labels.
 Maker = Callable[[int, float], object]
 
@@ -74,7 +76,8 @@ def fold_mean(df: DataFrame, label: str) -> DataFrame:
 def prepared(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """Stored rows with ``_f_{feature}`` (missing ones 0) and ``_y``, which all fits of a run read."""
     f = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_f_{c}") for c in features]
-    return store(df.select("*", *f, F.col(label).cast("double").alias("_y")), "training").df
+    kept = store(df.select("*", *f, F.col(label).cast("double").alias("_y")), "training")
+    return kept.df.coalesce(max(1, kept.bytes // PART_BYTES))  # boosting runs a job per level: few rows in few tasks
 
 
 def fit_one(train: DataFrame, features: list[str], model: Maker, winsor: float | None = None):
