@@ -21,7 +21,7 @@ def cell(v):
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
     if isinstance(v, (int, float, np.integer, np.floating)):
-        return f"{float(v) + 0.0:.6g}"
+        return f"{float(v) + 0.0:.10g}"
     return str(v)
 
 

@@ -2,7 +2,11 @@
 
 import datetime as dt
 import itertools
+import os
 import random
+import subprocess
+import sys
+import time
 
 import numpy as np
 import pytest
@@ -12,7 +16,7 @@ from tidemark import runtime
 from tidemark.functions import features as X
 from tidemark.functions import text as T
 from tidemark.functions.polarity import Polarity
-from tidemark.operators import asof, ensemble, evaluate, incremental, portfolio, regime
+from tidemark.operators import asof, ensemble, evaluate, incremental, portfolio, regime, turns
 from tidemark.operators import events as EV
 from tidemark.operators import ml as L
 from tidemark.operators import relational as R
@@ -142,6 +146,26 @@ def test_intermediates_can_be_released(spark):
         spark.read.parquet(path)
 
 
+def test_intermediates_go_with_the_application(tmp_path):
+    code = f"""
+from tidemark.session import build_session
+from tidemark import runtime
+s = build_session("gone", master="local[1]", shuffle_partitions=1, spark__checkpoint__dir={str(tmp_path)!r})
+runtime.store(s.range(3), "x"); runtime.new_path(s, "y")
+import os
+print("made", len(os.listdir({str(tmp_path)!r})))
+s.stop()
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, timeout=120)
+    assert "made 2" in out.stdout, out.stderr[-2000:]
+    for _ in range(50):
+        if not [f for f in os.listdir(tmp_path) if f.startswith("tidemark")]:
+            break
+        time.sleep(0.2)
+    assert not [f for f in os.listdir(tmp_path) if f.startswith("tidemark")]
+
+
 def test_session_without_the_setting_gets_its_own_folder(spark, monkeypatch):
     class Conf:
         def get(self, *_):
@@ -217,6 +241,20 @@ def test_attributes_candidates_and_ends(spark):
     assert [r.v for r in n.collect()] == [1.5, None, None, None]
 
 
+def test_names_of_targets():
+    assert R.hold_days("abnormal_30d") == 30 and R.hold_days("target") == 1 and R.raw_target("abnormal_30d_va") == "abnormal_30d"
+    assert R.prediction_column(["x", "predicted_a_va", "predicted_b"]) == "predicted_b" and R.prediction_column(["predicted_a_va"]) == "predicted_a_va" and R.prediction_column([]) is None
+    assert R.ordered_distinct(["b", "a", "b"]) == ["b", "a"]
+
+
+def test_texts_from_files_and_calls_without_speakers(spark, tmp_path):
+    (tmp_path / "a b.txt").write_text("one\ntwo")
+    (tmp_path / "c").write_text("x")
+    assert {(r.name, r.text) for r in K.text_files(spark, str(tmp_path)).collect()} == {("a b", "one\ntwo"), ("c", "x")}
+    df = spark.createDataFrame([(1, [{"speaker": "Ann Lee", "text": "hello"}], "flat"), (2, [], " flat text\n"), (3, None, None)], "k int, turns array<struct<speaker:string,text:string>>, t string")
+    assert {r.k: (r.full_text, r.n_turns) for r in turns.call_sections(df, ["k"], "turns", "t").collect()} == {1: ("hello", 1), 2: ("flat text", 0)}
+
+
 def test_sample_keeps_each_stratum_and_the_total(spark):
     t = spark.createDataFrame([(f"t{i}", "s%d" % (i % 7 if i < 7 else 0)) for i in range(50)], "k string, s string")
     assert incremental.stratified_sample(t, "k", "s", 10).count() == 10

@@ -80,7 +80,7 @@ class Polarity:
             v = [x * 0.5 if i < k else x * 1.5 if i > k else x for i, x in enumerate(v)]
         marks = text.count("?")
         loud = min(text.count("!"), 4) * 0.292 + (0 if marks < 2 else marks * 0.18 if marks < 4 else 0.96)
-        total = sum(v)
+        total = round(sum(v), 9)  # words that cancel out leave no noise whose sign would be stressed
         total += math.copysign(loud, total) if total else 0.0
         pos, neg, neu = sum(x + 1 for x in v if x > 0), sum(x - 1 for x in v if x < 0), sum(x == 0 for x in v)
         if pos > -neg:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,8 +39,6 @@ def coverage(df: DataFrame, cols: list[str]) -> dict[str, float]:
 def select_candidates(df: DataFrame, groups: list[tuple[str, float]], leaky: list[str]) -> list[str]:
     """Numeric columns whose name matches the first pattern of ``groups`` that fits it and that are covered above its
     share, in the order of the groups and without repeats; ``leaky`` ones never."""
-    import re
-
     numeric = [f.name for f in df.schema.fields if (isinstance(f.dataType, NumericType) or f.dataType.simpleString() == "boolean") and f.name not in leaky]
     share = coverage(df, numeric)
     out: list[str] = []
@@ -160,3 +159,19 @@ def as_number(c: str | Column) -> Column:
     """A number from any text or number; NULL where it is none, and for NaN."""
     v = (F.col(c) if isinstance(c, str) else c).try_cast("double")
     return F.when(~F.isnan(v), v)
+
+
+def hold_days(target: str, default: int = 1) -> int:
+    """Trading days in the name of a target, as in ``abnormal_30d``."""
+    m = re.search(r"(\d+)d", target)
+    return int(m.group(1)) if m else default
+
+
+def raw_target(target: str) -> str:
+    """The target behind an adjusted one."""
+    return re.sub("_va$", "", target)
+
+
+def prediction_column(columns: list[str]) -> str | None:
+    """The column of predictions, those of the raw target before those of an adjusted one."""
+    return min((c for c in columns if c.startswith("predicted_")), key=lambda c: (c.endswith("_va"), c), default=None)

@@ -82,3 +82,15 @@ def split_turns(calls: DataFrame, keys: list[str], turns: str = "turns", least:
     has = F.length("_qa") >= least
     ratio = lambda a, b, k: F.coalesce(F.try_divide(F.col(a) * F.lit(k), F.col(b)), F.lit(0.0))
     return out.select(*keys, "prepared_text", F.when(has, F.col("_qa")).otherwise("").alias("qa_text"), strip(F.concat_ws(" ", "prepared_text", "_qa")).alias("full_text"), has.cast("int").alias("has_qa"), "n_turns", "n_exec_speakers", "n_analyst_speakers", "n_analyst_questions", "analyst_q_words", "exec_a_words", ratio("exec_a_words", "analyst_q_words", 1.0).alias("answer_question_ratio"), ratio("_hedges", "exec_a_words", 1000.0).alias("hedge_per_1k"))
+
+
+def flat_sections(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """The row of a call that came without speakers: all of its text, no questions and no statistics."""
+    none = [F.lit(0).alias(c) for c in ("has_qa", "n_turns", "n_exec_speakers", "n_analyst_speakers", "n_analyst_questions", "analyst_q_words", "exec_a_words")]
+    return df.select(*keys, F.lit("").alias("prepared_text"), F.lit("").alias("qa_text"), strip(F.coalesce(text, F.lit(""))).alias("full_text"), *none, F.lit(0.0).alias("answer_question_ratio"), F.lit(0.0).alias("hedge_per_1k"))
+
+
+def call_sections(df: DataFrame, keys: list[str], turns: str, text: str) -> DataFrame:
+    """Calls split by their turns, or flat where they have none; calls without any text are left out."""
+    split = split_turns(df.filter(F.size(turns) > 0), keys, turns)
+    return split.unionByName(flat_sections(df.filter(F.coalesce(F.size(turns), F.lit(0)) <= 0), keys, text)).filter("full_text <> ''")

@@ -117,6 +117,12 @@ def asof_legacy_nearest(spark, d):
     return out.select("ticker", "quarter", "year", day("t").alias("pub_date"), day("matched").alias("matched"))
 
 
+def asof_legacy_unmatched(spark, d):
+    """How many dated calls have an event near, and how many none."""
+    x = asof_legacy_nearest(spark, d)
+    return x.agg(F.count("matched").alias("matched"), (F.count("*") - F.count("matched")).alias("unmatched"))
+
+
 def asof_unmatched_fallback(spark, d):
     """Calls with their event; where none is near, the publication date stands in."""
     right = events(spark, d).select("ticker", F.col("earnings_date").alias("t"))
@@ -198,4 +204,4 @@ def surprise_ranks(spark, d):
     return e.select("ticker", day("earnings_date").alias("earnings_date"), r6(pct_rank("eps_surprise_pct", "m"), "pct"), r6(average_rank("eps_surprise_pct", "m"), "avg_rank"))
 
 
-QUERIES = {f.__name__: f for f in (scan_prices, calendar_index, universe_union, null_counts, event_returns, robust_event_summary, describe_returns, trailing_returns, asof_nearest_30d, asof_legacy_nearest, asof_unmatched_fallback, asof_backward_10d, expanding_surprise_z, qoq_delta, past_target_stats, sue, surprise_streak, momentum_features, liquidity_feats, dma200, momentum_panel, composite_score, correlation, surprise_ranks)}
+QUERIES = {f.__name__: f for f in (scan_prices, calendar_index, universe_union, null_counts, event_returns, robust_event_summary, describe_returns, trailing_returns, asof_nearest_30d, asof_legacy_nearest, asof_legacy_unmatched, asof_unmatched_fallback, asof_backward_10d, expanding_surprise_z, qoq_delta, past_target_stats, sue, surprise_streak, momentum_features, liquidity_feats, dma200, momentum_panel, composite_score, correlation, surprise_ranks)}

@@ -122,6 +122,7 @@ j AS (SELECT c.ticker, quarter, year, pub_date, eps_surprise_pct FROM calls c LE
   WHERE pub_date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c.ticker, quarter, year ORDER BY abs(date_diff('day', pub_date, earnings_date)), earnings_date) = 1)
 SELECT ticker, quarter, year, {iso("pub_date")}, eps_surprise_pct FROM j""",
     "asof_legacy_nearest": near(False),
+    "asof_legacy_unmatched": f"SELECT count(matched) AS matched, count(*) - count(matched) AS unmatched FROM ({near(False)})",
     "asof_unmatched_fallback": near(True),
     "asof_backward_10d": f"""WITH {DAILY}, {EV}, v AS (SELECT ticker, date, {roll("stddev_samp", "r", 60, 30, "vol", 1)} FROM dr),
 j AS (SELECT ev.ticker, earnings_date, v.vol FROM ev LEFT JOIN v ON v.ticker = ev.ticker AND v.date <= earnings_date AND date_diff('day', v.date, earnings_date) <= 10 AND vol IS NOT NULL

@@ -64,7 +64,7 @@ def _sector_models(spark, d):
 
 
 def sector_submodels(spark, d):
-    return _sector_models(spark, d).select(*OUT, "sector", "actual", "predicted")
+    return _sector_models(spark, d).select(*OUT, "sector", "actual", r6("predicted"))
 
 
 def sector_quality(spark, d):
@@ -72,7 +72,8 @@ def sector_quality(spark, d):
     x = store(_sector_models(spark, d).select(F.col("sector").cast("string").alias("sector"), F.col("predicted").alias("score"), "actual").dropna(), "sectors").df
     both = x.unionByName(x.withColumn("sector", F.lit("all")))
     err = F.pow(F.col("actual") - F.col("score"), 2)
-    return both.groupBy("sector").agg(F.count("*").alias("n"), F.sqrt(F.avg(err)).alias("rmse"), F.avg((F.signum("actual") == F.signum("score")).cast("double")).alias("sign_accuracy"))
+    out = both.groupBy("sector").agg(F.count("*").alias("n"), F.sqrt(F.avg(err)).alias("rmse"), F.avg((F.signum("actual") == F.signum("score")).cast("double")).alias("sign_accuracy"))
+    return out.select("sector", "n", r6("rmse"), r6("sign_accuracy"))
 
 
 def baseline_mean(spark, d):

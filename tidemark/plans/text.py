@@ -96,12 +96,14 @@ def plain_features(spark, d):
 
 def sentiment_rows(spark, d):
     """All 34 features of every section."""
-    return X.feature_rows(_sections(spark, d), [*CALL, "section"], "text", _lexicons(spark, d))
+    x = X.feature_rows(_sections(spark, d), [*CALL, "section"], "text", _lexicons(spark, d))
+    return x.select(*CALL, "section", *[r6(F.col(c).cast("double"), c) for c in X.ALL])
 
 
 def section_features(spark, d):
     """One wide row per call with the features of its sections beside each other."""
-    return X.section_features(calls(spark, d, ["full_z", "prep_z", "qa_z", "has_qa"]), CALL, _lexicons(spark, d))
+    x = X.section_features(calls(spark, d, ["full_z", "prep_z", "qa_z", "has_qa"]), CALL, _lexicons(spark, d))
+    return x.select(*CALL, *[r6(F.col(c).cast("double"), c) for c in x.columns if c not in CALL])
 
 
 def hedge_rate(spark, d):
@@ -171,7 +173,7 @@ def packed_sentences(spark, d):
 
 
 def tone_features(spark, d):
-    return _sections(spark, d).select(*CALL, "section", V.polarity(F.col("text"), P.VALENCE).alias("v")).select(*CALL, "section", "v.*")
+    return _sections(spark, d).select(*CALL, "section", V.polarity(F.col("text"), P.VALENCE).alias("v")).select(*CALL, "section", *[r6(F.col("v")[k], k) for k in V.KEYS])
 
 
 def tone_combined(spark, d):
@@ -284,7 +286,8 @@ def stored_calls(spark, d):
     """Calls split into turns and built into rows of the calls table, written in place of a table and read back."""
     m = meta(spark, d).select(*CALL, "pub_date", "source")
     path = new_path(spark, "calls")
-    K.replace_table(K.call_row(U.split_turns(_turns(spark, d), CALL).join(m, CALL)), path)
+    t = _turns(spark, d).join(calls(spark, d, ["full_z"]), CALL)
+    K.replace_table(K.call_row(U.call_sections(t, CALL, "turns", "full_z").join(m, CALL)), path)
     x = K.require_rows(K.read_or_empty(spark, path, "ticker string"), "the calls table")
     return x.select(*CALL, "has_qa", "n_turns", "n_words_full", "answer_question_ratio", "hedge_per_1k")
 

@@ -1,6 +1,8 @@
 """The text and table queries in plain SQL."""
 
+from ..functions import features as X
 from ..functions import patterns as P
+from ..functions import polarity as V
 from ..functions.text import SPACE, spaced
 from ..operators.incremental import SCORE_FIELDS
 from .market_sql import EV, PX, iso, r6
@@ -87,6 +89,49 @@ split AS (SELECT {KEY}, coalesce(prepared_text, '') AS prepared_text, CASE WHEN
   {", ".join(f"coalesce({c}, 0)::INT AS {c}" for c in ("n_turns", "n_exec_speakers", "n_analyst_speakers", "n_analyst_questions", "analyst_q_words", "exec_a_words"))},
   coalesce(exec_a_words / nullif(analyst_q_words, 0), 0) AS answer_question_ratio, coalesce(h * 1000 / nullif(exec_a_words, 0), 0) AS hedge_per_1k FROM (SELECT {KEY} FROM calls) LEFT JOIN ta USING ({KEY}))"""
 
+# The polarity rules, a word at a time with the three words before it; chunk -1 is the whole text.
+def words_of(lex) -> str:
+    return "(" + ", ".join(map(q, lex)) + ")"
+
+
+def negates(c: str) -> str:
+    return f"({c} IN {words_of(V.NEGATING)} OR contains({c}, {q(chr(110) + chr(39) + chr(116))}))"
+
+
+def step(n: int, back: int) -> str:
+    """One place further back: boosters, then negations, of a word that is not in the lexicon itself."""
+    c, near = f"l{back}", [f"l{k}" for k in range(1, back)]
+    between = lambda w: "(" + " OR ".join(f"{x} = {q(w)}" for x in near) + ")"
+    special = f"WHEN {c} = 'never' AND ({between('so')} OR {between('this')}) THEN 1.25 WHEN {c} = 'without' AND {between('doubt')} THEN 1 " if near else ""
+    weight = (1, 0.95, 0.9)[back - 1]
+    boost = f"CASE WHEN {c} IN {words_of(V.RAISING)} THEN 0.293 WHEN {c} IN {words_of(V.LOWERING)} THEN -0.293 ELSE 0 END"
+    raised = f"(v + CASE WHEN {boost} <> 0 THEN ({boost} * sign(v) + CASE WHEN mixed AND u{back} THEN 0.733 * sign(v) ELSE 0 END) * {weight} ELSE 0 END)"
+    out = f"{raised} * CASE {special}WHEN {negates(c)} THEN -0.74 ELSE 1 END"
+    return f"v{n} AS (SELECT * REPLACE (CASE WHEN v <> 0 AND {c} IS NOT NULL AND {c} NOT IN {words_of(P.VALENCE)} THEN {out} ELSE v END AS v) FROM v{n - 1})"
+
+
+TONE = f"""{SECT}, sp AS (SELECT {KEY}, section, text, regexp_split_to_array(text, '[.!?]+') AS s FROM sect WHERE length({strip("text")}) > 0),
+ck AS (SELECT {KEY}, section, -1 AS chunk, text AS t FROM sp UNION ALL SELECT {KEY}, section, i, array_to_string(s[i * 5 + 1:i * 5 + 5], ' ') FROM (SELECT *, unnest(generate_series(0, (len(s) - 1) // 5)) AS i FROM sp)),
+cc AS (SELECT * FROM ck WHERE length({strip("t")}) > 0),
+wd AS (SELECT {KEY}, section, chunk, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT *, list_filter(regexp_split_to_array(t, {q(SPACE + "+")}), lambda w: w <> '') AS ws FROM cc)),
+wt AS (SELECT * REPLACE (CASE WHEN length(regexp_replace(w, '^[^\\w]+|[^\\w]+$', '', 'g')) > 2 THEN regexp_replace(w, '^[^\\w]+|[^\\w]+$', '', 'g') ELSE w END AS w) FROM wd),
+wu AS (SELECT *, lower(w) AS low, w = upper(w) AND w <> lower(w) AS up FROM wt),
+lx(low, val) AS (VALUES {", ".join(f"({q(w)}, {v}::DOUBLE)" for w, v in P.VALENCE.items())}),
+wv AS (SELECT wu.*, CASE WHEN wu.low IN {words_of([*V.RAISING, *V.LOWERING])} THEN 0 ELSE coalesce(val, 0) END AS v FROM wu LEFT JOIN lx ON lx.low = wu.low),
+wl AS (SELECT *, {", ".join(f"lag(low, {k}) OVER w AS l{k}, lag(up, {k}) OVER w AS u{k}" for k in (1, 2, 3))}, count(*) FILTER (up) OVER g BETWEEN 1 AND count(*) OVER g - 1 AS mixed, min(CASE WHEN low = 'but' THEN i END) OVER g AS but
+  FROM wv WINDOW w AS (PARTITION BY {KEY}, section, chunk ORDER BY i), g AS (PARTITION BY {KEY}, section, chunk)),
+v0 AS (SELECT * REPLACE (CASE WHEN v <> 0 AND mixed AND up THEN v + 0.733 * sign(v) ELSE v END AS v) FROM wl),
+{step(1, 1)}, {step(2, 2)}, {step(3, 3)},
+v4 AS (SELECT * REPLACE (CASE WHEN v <> 0 AND l1 = 'least' AND NOT coalesce(l2 IN ('at', 'very'), false) THEN v * -0.74 ELSE v END AS v) FROM v3),
+v5 AS (SELECT * REPLACE (v * CASE WHEN i < but THEN 0.5 WHEN i > but THEN 1.5 ELSE 1 END AS v) FROM v4),
+ld AS (SELECT {KEY}, section, chunk, least(4, len(regexp_extract_all(t, '!'))) * 0.292 + CASE WHEN len(regexp_extract_all(t, '[?]')) < 2 THEN 0 WHEN len(regexp_extract_all(t, '[?]')) < 4 THEN len(regexp_extract_all(t, '[?]')) * 0.18 ELSE 0.96 END AS loud FROM cc),
+sm AS (SELECT {KEY}, section, chunk, round(sum(v), 9) AS total, coalesce(sum(v + 1) FILTER (v > 0), 0) AS pos, coalesce(sum(v - 1) FILTER (v < 0), 0) AS neg, count(*) FILTER (v = 0) AS neu FROM v5 GROUP BY ALL),
+s2 AS (SELECT {KEY}, section, chunk, total + CASE WHEN total > 0 THEN loud WHEN total < 0 THEN -loud ELSE 0 END AS total, pos + CASE WHEN pos > -neg THEN loud ELSE 0 END AS pos, neg - CASE WHEN pos < -neg THEN loud ELSE 0 END AS neg, neu FROM sm JOIN ld USING ({KEY}, section, chunk)),
+s3 AS (SELECT {KEY}, section, chunk, total / sqrt(total * total + 15) AS c, pos / (pos - neg + neu) AS pos, -neg / (pos - neg + neu) AS neg, neu / (pos - neg + neu) AS neu FROM s2),
+s4 AS (SELECT {KEY}, section, max(c) FILTER (chunk < 0) AS compound, {", ".join(f"avg({k}) FILTER (chunk >= 0) AS {k}" for k in ("pos", "neg", "neu"))}, avg(c) FILTER (chunk >= 0) AS mean, stddev_pop(c) FILTER (chunk >= 0) AS std, min(c) FILTER (chunk >= 0) AS min, max(c) FILTER (chunk >= 0) AS max,
+  quantile_cont(c, 0.1) FILTER (chunk >= 0) AS p10, quantile_cont(c, 0.9) FILTER (chunk >= 0) AS p90, avg((c < -0.05)::INT) FILTER (chunk >= 0) AS pct_neg, avg((c > 0.05)::INT) FILTER (chunk >= 0) AS pct_pos, count(*) FILTER (chunk >= 0) AS n_chunks, count(*) FILTER (chunk >= 0) AS n_paragraphs FROM s3 GROUP BY ALL),
+tone AS (SELECT {KEY}, section, {", ".join(f"CASE WHEN coalesce(n_chunks, 0) = 0 THEN 0 ELSE {k} END AS {k}" for k in V.KEYS)} FROM sect LEFT JOIN s4 USING ({KEY}, section))"""
+
 ORACLE = {
     "clean_transcript": f"WITH {CALLS} SELECT {KEY}, {clean('full_z')} AS clean FROM calls",
     "boilerplate_lines": f"WITH {CALLS}, l AS (SELECT {KEY}, unnest(string_split(full_z, chr(10))) AS line FROM calls) SELECT {KEY}, sum(({' OR '.join(f'contains(lower(line), {q(p)})' for p in P.BOILERPLATE_PHRASES)})::INT)::BIGINT AS n_boilerplate, count(*) AS n_lines FROM l GROUP BY ALL",
@@ -153,5 +198,10 @@ SELECT ticker, {iso("earnings_date")}, url, description FROM j""",
     "stream_upsert": f"WITH {CALLS} SELECT {KEY}, strftime(loaded_at, '%Y-%m-%d %H:%M:%S') AS loaded_at FROM calls",
     "stream_water_mark": f"WITH {PRED}, m AS (SELECT ticker, max(date) AS last FROM pred GROUP BY 1), c AS (SELECT DISTINCT upper(trim(ticker)) AS ticker, lower(trim(quarter)) AS quarter, year, pub_date FROM transcripts_text WHERE pub_date IS NOT NULL) SELECT c.ticker, quarter, year, {iso('pub_date')} FROM c LEFT JOIN m ON m.ticker = c.ticker WHERE last IS NULL OR pub_date > last",
     "split_turns": f"WITH {CALLS}, {TURNS} SELECT * REPLACE (round(answer_question_ratio + 1e-10, 6) + 0.0 AS answer_question_ratio, round(hedge_per_1k + 1e-10, 6) + 0.0 AS hedge_per_1k) FROM split",
-    "stored_calls": f"WITH {CALLS}, {TURNS} SELECT {KEY}, has_qa, n_turns, len(list_filter(regexp_split_to_array(full_text, {q(SPACE + '+')}), lambda w: w <> ''))::INT AS n_words_full, round_even(answer_question_ratio, 4) AS answer_question_ratio, round_even(hedge_per_1k, 4) AS hedge_per_1k FROM split",
+    "stored_calls": f"""WITH {CALLS}, {TURNS}, all_calls AS (SELECT s.*, CASE WHEN s.n_turns = 0 THEN {strip("coalesce(full_z, '')")} ELSE full_text END AS whole FROM split s JOIN calls USING ({KEY}))
+SELECT {KEY}, has_qa, n_turns, len(list_filter(regexp_split_to_array(whole, {q(SPACE + "+")}), lambda w: w <> ''))::INT AS n_words_full, round_even(answer_question_ratio, 4) AS answer_question_ratio, round_even(hedge_per_1k, 4) AS hedge_per_1k FROM all_calls WHERE whole <> ''""",
+    "tone_features": f"WITH {TONE} SELECT {KEY}, section, {', '.join(r6(k) for k in V.KEYS)} FROM tone",
 }
+_plain = ORACLE["plain_features"].replace(f"WITH {SECT}, ", "", 1)
+ORACLE["sentiment_rows"] = f"WITH {TONE}, {_plain[:_plain.index(f'SELECT {KEY}, section, round(p +')].rstrip()}, pf AS ({_plain[_plain.index(f'SELECT {KEY}, section, round(p +'):]}) SELECT {KEY}, section, {', '.join(r6(k, f'vader_{k}') for k in V.KEYS)}, pf.* EXCLUDE ({KEY}, section) FROM tone JOIN pf USING ({KEY}, section)"
+ORACLE["section_features"] = f"WITH sr AS ({ORACLE['sentiment_rows']}) SELECT {KEY}, " + ", ".join(f"max({c}) FILTER (section = '{k}') AS {k}_{c}" for k in X.SECTIONS for c in X.ALL) + f" FROM sr GROUP BY {KEY}"

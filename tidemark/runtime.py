@@ -37,15 +37,26 @@ def _at(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder; what is written there goes when the application ends, or with :func:`release`."""
+def _place(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    p, fs = _at(spark, path)
-    fs.deleteOnExit(p)
     _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
+def _goes_at_exit(spark: SparkSession, path: str) -> None:
+    p, fs = _at(spark, path)
+    fs.deleteOnExit(p)  # marks only what is there
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new empty folder in the shared one; it goes when the application ends, or with :func:`release`."""
+    path = _place(spark, name)
+    p, fs = _at(spark, path)
+    fs.mkdirs(p)
+    _goes_at_exit(spark, path)
+    return path
+
+
 def release(spark: SparkSession) -> int:
     """Delete all intermediate tables of this application; frames that still read them are of no more use."""
     made = _MADE.pop(spark.sparkContext.applicationId, [])
@@ -79,8 +90,9 @@ class Stored:
 def store(df: DataFrame, name: str = "t") -> Stored:
     """Write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = _place(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _goes_at_exit(spark, path)
     return Stored(spark, path, df.schema)
 
 

@@ -190,3 +190,8 @@ def last_values(raw: DataFrame, keys: list[str], order: str, values: list[str])
     """Of each key the last present value of each column, which may come from different rows."""
     return raw.groupBy(*keys).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(order, v))).alias(v) for v in values])
 
+
+def text_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(``name``, ``text``) of whole text files; the name is that of the file without its folder and ending."""
+    x = spark.read.text(folder, wholetext=True)
+    return x.select(F.regexp_extract("_metadata.file_name", r"^(.+?)(?:\.[^./]*)?$", 1).alias("name"), F.col("value").alias("text"))
