@@ -2,6 +2,8 @@ import collections
 import datetime as dt
 import random
 import re
+import sys
+import unicodedata
 
 import numpy as np
 import pytest
@@ -14,6 +16,7 @@ from tidemark.llm import leaks as LK
 from tidemark.llm import mixing as MX
 from tidemark.llm import reading_level as RL
 from tidemark.llm import repeated_lines as RP
+from tidemark.llm import visual_form as VF
 from tidemark.llm.nearest_time import fit_segments, nearest
 from tidemark.llm.queries import QUERIES
 from tidemark.llm.queries_sql import ORACLE
@@ -291,6 +294,22 @@ def test_leaks_whole_placeholders(spark, swaps):
     assert 1 in got and got[2][0] == "exact" and 3 not in got
 
 
+@given(st.text(alphabet=st.sampled_from("aAéÉß_ .12²٣ΣςσİЖж\n-'語😀"), max_size=120), st.lists(st.text(alphabet="aéßσж1", min_size=1, max_size=3), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_words_are_coded_as_written_out(text, known):
+    lex = LK.Lexicon.of([" ".join(known)])
+    code, start, end = LK.Coder(lex).codes(text)
+    words = re.findall(r"[^\W_]+", text)
+    assert [text[a:b] for a, b in zip(start, end)] == words
+    sigma = lambda w: "".join(c.lower()[0] for c in w).replace("ς", "σ")
+    kinds = {sigma(k): v for k, v in lex.kinds.items()}
+    for w, c in zip(words, code.tolist()):
+        if sigma(w) in kinds:
+            assert c == kinds[sigma(w)]
+        else:
+            assert c == (LK.NUMBER if any(x.isdigit() for x in w) else LK.NAME if w[0].isupper() else LK.NONE)
+
+
 def test_long_documents_keep_their_places():
     rnd = random.Random(3)
     words = ["alpha", "beta", "12", "3.5", "more", "square", "kg", "Acme", "Lomo", "Quinmas.", "gamma,", "of", "delta"]
@@ -311,11 +330,11 @@ def test_long_documents_lose_no_window():
     lex = LK.Lexicon.of([text])
     whole = collections.Counter(tuple(w) for *_, w in LK.template_windows([text], lex, None))
     cut = collections.Counter()
-    ids = LK._Ids(lex)
+    coder = LK.Coder(lex)
     for at, joined in LK._stretches([text], block=300):
-        words = LK.TOKEN.findall(joined)
-        s, _ = LK.window_hashes(np.array([ids[w] for w in words]))
-        cut.update(tuple(words[k : k + LK.WIDTH]) for k in s)
+        code, first, end = coder.codes(joined)
+        starts, h = LK.window_hashes(code)
+        cut.update(tuple(joined[first[j] : end[j]] for j in range(k, k + LK.WIDTH)) for k in starts)
     assert cut == whole
 
 
@@ -390,6 +409,19 @@ def test_drawn_otherwise(a, b):
     assert visual_form(a) != visual_form(b)
 
 
+def test_mapped_characters_lie_where_they_are_sought():
+    for cp in range(0x80, sys.maxunicode + 1):
+        kind = unicodedata.decomposition(chr(cp)).partition(" ")[0]
+        if unicodedata.category(chr(cp)) == "Zs" or kind in ("<wide>", "<narrow>", "<compat>"):
+            assert any(a <= cp < b for a, b in VF.MAPPED), hex(cp)
+
+
+@given(st.text(alphabet=st.one_of(st.sampled_from([chr(c) for a, b in VF.PLAIN_BLOCKS for c in range(a, b)]), st.characters(max_codepoint=0x7F), st.sampled_from("\u0301\u0308\u200b"))))
+@settings(max_examples=300, deadline=None)
+def test_plain_texts_are_their_own_form(t):
+    assert visual_form(t) == VF._form(t)
+
+
 @given(st.text())
 @settings(max_examples=200, deadline=None)
 def test_form_is_stable(t):

@@ -35,7 +35,6 @@ WINDOWS_A_PASS = 4_000_000
 BLOCK = 1 << 20
 CUT = "\x1e"
 WORD = re.compile(r"[^\W_]+")
-TOKEN = re.compile(rf"[^\W_]+|{CUT}")
 #: Words of a template that must be plain for a re-parameterised match.
 MIN_PLAIN = 6
 
@@ -105,26 +104,78 @@ class Lexicon:
         return cls.of_uses(cls.uses(texts))
 
 
-class _Ids(dict):
-    """Template ids by word as written; kept while few."""
+_WORD, _DIGIT, _CAPITAL, _KNOWN = 1, 2, 4, 8
+_ODD = 0xD6E8FEB86659FD93  # odd, so its powers can be undone
 
-    def __init__(self, lexicon: Lexicon):
-        self.kinds = lexicon.kinds
 
-    def __missing__(self, w: str) -> int:
-        k = w.lower()
-        if w == CUT:
-            v = SEAM
-        elif k in self.kinds:
-            v = self.kinds[k]
-        elif any(c.isdigit() for c in k):
-            v = NUMBER
-        else:
-            v = NAME if w[0].isupper() else NONE
-        if len(self) > 1_000_000:
-            self.clear()
-        self[w] = v
-        return v
+class _Characters:
+    """What each character is and its small form, filled in as characters come up."""
+
+    def __init__(self):
+        self.kind = np.zeros(0x110000, np.uint8)
+        self.value = np.zeros(0x110000, np.uint64)
+        self.power = self.undo = np.ones(1, np.uint64)
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of ``text`` and their kinds."""
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not self.kind[c].all():
+            for cp in np.unique(c[self.kind[c] == 0]).tolist():
+                ch = chr(cp)
+                low = ch.lower()[0]
+                x = ord("σ" if low == "ς" else low) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF
+                x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+                self.value[cp] = x ^ x >> 27
+                self.kind[cp] = _KNOWN | _WORD * (ch.isalnum() or ch == CUT) | _DIGIT * ch.isdigit() | _CAPITAL * ch.isupper()
+        return c, self.kind[c]
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.power) < n:
+            with np.errstate(over="ignore"):
+                self.power, self.undo = (np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(2 * n, f, np.uint64), dtype=np.uint64))) for f in (_ODD, pow(_ODD, -1, 1 << 64)))
+        return self.power[:n], self.undo[:n]
+
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends, hashes of the small form and kinds (of the first character, with any digit) of the words."""
+        c, kind = self.read(text)
+        w = (kind & _WORD) > 0
+        edge = np.diff(np.concatenate(([0], w.view(np.int8), [0])))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        power, undo = self.powers(len(c))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.value[c] * power, dtype=np.uint64)))
+        h = (total[end] - total[start]) * undo[start] if len(start) else np.empty(0, np.uint64)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        digits = np.concatenate(([0], np.cumsum((kind & _DIGIT) > 0)))
+        return start, end, h ^ (h >> np.uint64(29)), kind[start] & _CAPITAL | _DIGIT * (digits[end] > digits[start])
+
+
+_CHARACTERS: list[_Characters] = []
+
+
+class Coder:
+    """Template ids of the words of a text, without a Python object for each word."""
+
+    def __init__(self, lexicon: Lexicon):
+        if not _CHARACTERS:
+            _CHARACTERS.append(_Characters())
+        self.characters = _CHARACTERS[0]
+        known = sorted(lexicon.kinds)
+        _, _, h, _ = self.characters.words(" ".join(known))
+        at = np.argsort(h, kind="stable")
+        self.hashes, self.ids = h[at], np.array([lexicon.kinds[k] for k in known], np.int64)[at]
+
+    def codes(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, starts and ends of the words, seams among them."""
+        start, end, h, kind = self.characters.words(text)
+        code = np.where(kind & _DIGIT, NUMBER, np.where(kind & _CAPITAL, NAME, NONE)).astype(np.int64)
+        if len(self.hashes):
+            k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = self.hashes[k] == h
+            code[hit] = self.ids[k[hit]]
+        if CUT in text:
+            first = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)[start]
+            code[first == ord(CUT)] = SEAM
+        return code, start, end
 
 
 def window_hashes(ids: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -176,16 +227,15 @@ class Forms(list):
         super().__init__("" if t is None else visual_form(t).replace(CUT, " ") for t in texts)
 
 
-def template_windows(texts: list[str | None], lexicon: Lexicon, wanted: np.ndarray | None, width: int = WIDTH, block: int = BLOCK) -> list[tuple[int, int, int, list[str]]]:
+def template_windows(texts: list[str | None], lexicon: Lexicon | Coder, wanted: np.ndarray | None, width: int = WIDTH, block: int = BLOCK) -> list[tuple[int, int, int, list[str]]]:
     """(text, position, hash, words) of the windows of ``texts``; of ``wanted`` (sorted hashes) only, if given. Positions are
     counted over the whole text."""
     forms = texts if isinstance(texts, Forms) else Forms(texts)
-    ids = _Ids(lexicon)
+    coder = lexicon if isinstance(lexicon, Coder) else Coder(lexicon)
     out = []
     last, past = -1, 0  # the text that came last, and its words before the next part's lead
     for at, joined in _stretches(forms, block, width):
-        words = TOKEN.findall(joined)
-        code = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        code, first, end = coder.codes(joined)
         start, h = window_hashes(code, width)
         if wanted is not None:
             k = np.searchsorted(wanted, h)
@@ -194,12 +244,14 @@ def template_windows(texts: list[str | None], lexicon: Lexicon, wanted: np.ndarr
         seams = np.flatnonzero(code == SEAM)
         part = np.searchsorted(seams, start)
         begins = np.concatenate(([0], seams + 1))
-        lengths = np.append(seams, len(words)) - begins
+        lengths = np.append(seams, len(code)) - begins
         before = []
         for i, n in zip(at, lengths.tolist()):
             before.append(past if i == last else 0)
             last, past = i, before[-1] + max(0, n - (width - 1))
-        out.extend((at[p], int(s - begins[p]) + before[p], int(x), [w.lower() for w in words[s : s + width]]) for p, s, x in zip(part, start, h))
+        for p, s, x in zip(part.tolist(), start.tolist(), h.tolist()):
+            words = [joined[a:b].lower() for a, b in zip(first[s : s + width].tolist(), end[s : s + width].tolist())]
+            out.append((at[p], int(s - begins[p]) + before[p], x, words))
     return out
 
 
@@ -357,9 +409,10 @@ def matched_windows(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
 
         def seek(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             lex, wanted = lexicon.value, shared.value
+            coder = Coder(lex)
             for df in batches:
                 texts = Forms(df["text"].tolist())
-                hits = template_windows(texts, lex, wanted, width)
+                hits = template_windows(texts, coder, wanted, width)
                 if placed:
                     hits += [(i, s, h, w) for i, _, s, h, w, _ in placed_windows(texts, lex, wanted, width)]
                 if not hits:
