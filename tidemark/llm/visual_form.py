@@ -12,7 +12,7 @@ feeds stay.
 
 from __future__ import annotations
 
-import sys
+import re
 import unicodedata
 
 import pandas as pd
@@ -46,12 +46,17 @@ NOT_DRAWN = [
 HYPHENS = "‐‑"
 
 
+#: Where characters with a compatibility mapping or of the blank kind lie; elsewhere are ideographs, syllables and the
+#: like, which have none. Found by going through all of Unicode (see the tests).
+MAPPED = [(0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x10000), (0x10700, 0x10800), (0x1D000, 0x1F300)]
+#: Blocks of ordinary letters and signs, none of which joins with its neighbours.
+PLAIN_BLOCKS = [(0xA0, 0x250), (0x370, 0x530), (0x2010, 0x2070), (0x20A0, 0x20D0), (0x2100, 0x27C0)]
+
+
 def _table() -> dict[int, str | None]:
     """Every character's replacement after canonical decomposition, from the Unicode data of this Python."""
     out: dict[int, str | None] = {}
-    for cp in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
+    for cp in (cp for a, b in MAPPED for cp in range(a, b) if not 0xD800 <= cp <= 0xDFFF):
         c = chr(cp)
         kind, _, _ = unicodedata.decomposition(c).partition(" ")
         if unicodedata.category(c) == "Zs":
@@ -70,16 +75,34 @@ def _table() -> dict[int, str | None]:
     return out
 
 
-_TABLE: dict[int, str | None] | None = None
+_TABLE = _table()
+
+
+def _form(text: str) -> str:
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_TABLE))
+
+
+def _own_forms() -> str:
+    """A regex class of the characters that any text keeps: ASCII and those of PLAIN_BLOCKS that are their own form and
+    no combining marks."""
+    keep = [cp for a, b in PLAIN_BLOCKS for cp in range(a, b) if unicodedata.category(chr(cp))[0] not in "MC" and _form(chr(cp)) == chr(cp)]
+    runs: list[list[int]] = [[0, 0x7F]]
+    for cp in keep:
+        if cp == runs[-1][1] + 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+
+
+OWN_FORMS = _own_forms()
+_OTHER = re.compile(f"[^{OWN_FORMS}]")
 
 
 def visual_form(text: str, fold_case: bool = False) -> str:
-    """The form of one text."""
-    global _TABLE
-    if not text.isascii():
-        if _TABLE is None:
-            _TABLE = _table()
-        text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_TABLE))
+    """The form of one text; one of characters that are their own forms is its own."""
+    if _OTHER.search(text):
+        text = _form(text)
     return text.casefold() if fold_case else text
 
 
@@ -91,10 +114,13 @@ def visual_forms(texts: pd.Series, fold_case: bool = False) -> pd.Series:
 
 
 def visual_form_column(text: Column, fold_case: bool = False) -> Column:
-    """The form of a column. Only texts with other than ASCII characters go to Python."""
+    """The form of a column. Only texts with characters that are not their own form go to Python, with ``fold_case``
+    those with other than ASCII characters."""
     udf = F.pandas_udf(lambda s: visual_forms(s, fold_case), "string")
-    plain = F.lower(text) if fold_case else text
-    return F.coalesce(udf(F.when(text.rlike(r"[^\x00-\x7F]"), text)), plain)
+    if fold_case:
+        return F.coalesce(udf(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
+    # Most characters are ASCII and are passed before the long class is looked through.
+    return F.coalesce(udf(F.when(text.rlike(rf"(?![\x00-\x7F])[^{OWN_FORMS}]"), text)), text)
 
 
 def _two_hashes(c: Column) -> Column:
