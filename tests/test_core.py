@@ -154,6 +154,18 @@ def test_asof_ties_and_tolerance(spark):
     assert {r.id: r.v for r in asof.asof_backward(left, right, ["k"], "t", ["v"], 10).collect()} == {1: 2, 2: None, 3: None}
 
 
+def test_scored_panel_is_the_composite_of_the_panel(spark):
+    rnd = random.Random(12)
+    rows = [(f"t{k}", D(i), 10.0 + rnd.random() * 5, float(rnd.randrange(1000))) for k in range(6) for i in range(420) if rnd.random() < 0.99 or k == 0]
+    px = spark.createDataFrame(rows, "ticker string, date date, close double, volume double")
+    sector = F.substring("ticker", 2, 1).cast("int") % 2
+    cal = M.calendar(px)
+    a = M.composite(M.momentum_panel(px, cal, "t0", sector)).select("date", "ticker", "composite", "rev_5d_sn")
+    b = M.scored_panel(px, cal, "t0", sector).select("date", "ticker", F.col("composite").alias("c"), F.col("rev_5d_sn").alias("r"))
+    x = a.join(b, ["date", "ticker"], "full").collect()
+    assert len(x) == a.count() == b.count() > 8 and all((r.composite is None) == (r.c is None) and abs((r.composite or 0) - (r.c or 0)) < 1e-9 and r.rev_5d_sn == r.r for r in x)
+
+
 def test_decay(spark):
     cal = spark.createDataFrame([(D(i), i) for i in range(40)], "date date, cal_idx int")
     s = spark.createDataFrame([("a", D(0), 1.0), ("b", D(0), -1.0)], "ticker string, event_date date, score double")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import at_offset, col, enough, many_pct_ranks, rolling_avg, rolling_std, trailing
+from ..functions.exprs import at_offset, col, enough, many_pct_ranks, pct_rank, rolling_avg, rolling_std, trailing
 from ..runtime import latest, store
 
 WINDOWS = (1, 30, 90)
@@ -137,20 +137,44 @@ def month_ends(cal: DataFrame, warmup: int, hold: int) -> DataFrame:
     return last.join(F.broadcast(n)).filter((F.col("cal_idx") >= warmup) & (F.col("cal_idx") <= F.col("_n") - hold)).select("cal_idx")
 
 
-def momentum_panel(prices: DataFrame, cal: DataFrame, benchmark: str, sector: Column, hold: int = 21, warmup: int = 260) -> DataFrame:
-    """Month-end rows with features, liquidity, the return ahead less beta times the benchmark's, and sector ranks."""
+RANKED = [*BASE, "mom_12_1_va", "mom_6_1_va", "idio_mom_va", "rev_5d_va", "turn_trend", "log_adv"]
+
+
+def rebalance_rows(prices: DataFrame, cal: DataFrame, benchmark: str, sector: Column, hold: int = 21, warmup: int = 260) -> DataFrame:
+    """Month-end rows with features, liquidity and the return ahead less beta times the benchmark's, stored."""
     panel = on_calendar(prices, cal)
     f = liquidity(momentum_features(panel, benchmark))
     ahead = F.try_divide(at_offset("close", "ticker", "cal_idx", hold), F.col("close")) - 1
     f = f.withColumn("raw_target", ahead)
+    f = f.join(F.broadcast(month_ends(cal, warmup, hold)), "cal_idx", "left_semi").withColumn("sector", sector)
+    f = store(f, "rebalances").df  # a month's rows for each name, the benchmark's among them
     bench = f.filter(F.col("ticker") == benchmark).select("cal_idx", F.col("raw_target").alias("_bt"))
-    f = f.join(F.broadcast(month_ends(cal, warmup, hold)), "cal_idx", "left_semi")
     f = f.join(F.broadcast(bench), "cal_idx", "left").withColumn("target", F.col("raw_target") - F.col("beta_252") * F.col("_bt")).drop("_bt")
-    f = f.filter((F.col("ticker") != benchmark) & F.col("target").isNotNull() & F.col("mom_12_1").isNotNull()).withColumn("sector", sector)
-    ranked = [*BASE, "mom_12_1_va", "mom_6_1_va", "idio_mom_va", "rev_5d_va", "turn_trend", "log_adv"]
-    f = store(f, "panel").df
-    long = many_pct_ranks(f, ranked, ["date", "sector"], ["date", "ticker"])
-    wide = long.groupBy("date", "ticker").agg(*[F.max(F.when(F.col("_name") == c, F.col("_p"))).alias(f"{c}_sn") for c in ranked])
+    return f.filter((F.col("ticker") != benchmark) & F.col("target").isNotNull() & F.col("mom_12_1").isNotNull())
+
+
+def scored_panel(prices: DataFrame, cal: DataFrame, benchmark: str, sector: Column, signs: dict[str, int] = SIGNS, **when) -> DataFrame:
+    """Month-end rows with their sector ranks ``{c}_sn`` and the composite, as :func:`composite` would make it of them.
+
+    Both kinds of ranks come from one long form of keys, names and values; only the first is ranked again by date.
+    """
+    f = rebalance_rows(prices, cal, benchmark, sector, **when)
+    each = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in RANKED])
+    long = f.select("date", "ticker", "sector", F.explode(each).alias("x")).select("date", "ticker", "sector", "x.*")
+    long = long.withColumn("sn", pct_rank("v", "date", "sector", "name"))
+    sign = F.create_map(*[F.lit(x) for c, v in signs.items() for x in (c, float(v))])
+    long = long.withColumn("p", pct_rank("v", "date", "name")).withColumn("q", pct_rank("sn", "date", "name")).withColumn("s", F.try_element_at(sign, "name"))
+    signed = F.when(F.col("s").isNotNull(), F.col("s") * (F.col("p") + F.col("q")))
+    total = F.when(F.count(signed) == len(signs), F.sum(signed) / (2 * len(signs)))
+    wide = long.groupBy("date", "ticker").agg(*[F.max(F.when(F.col("name") == c, F.col("sn"))).alias(f"{c}_sn") for c in RANKED], total.alias("composite"))
+    return f.join(wide, ["date", "ticker"])
+
+
+def momentum_panel(prices: DataFrame, cal: DataFrame, benchmark: str, sector: Column, **when) -> DataFrame:
+    """Month-end rows with their sector ranks."""
+    f = rebalance_rows(prices, cal, benchmark, sector, **when)
+    long = many_pct_ranks(f, RANKED, ["date", "sector"], ["date", "ticker"])
+    wide = long.groupBy("date", "ticker").agg(*[F.max(F.when(F.col("_name") == c, F.col("_p"))).alias(f"{c}_sn") for c in RANKED])
     return f.join(wide, ["date", "ticker"])
 
 

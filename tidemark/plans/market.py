@@ -180,12 +180,13 @@ def dma200(spark, d):
 
 
 def panel(spark, d):
-    return M.composite(M.momentum_panel(prices(spark, d), cal(spark, d), BENCHMARK, sector()))
+    return M.scored_panel(prices(spark, d), cal(spark, d), BENCHMARK, sector())
 
 
 def momentum_panel(spark, d):
     cols = ["target", "raw_target", "mom_12_1_sn", "rev_5d_sn", "log_adv_sn", "beta_252_sn", "turn_trend"]
-    return panel(spark, d).select("ticker", day("date").alias("date"), "sector", *[r6(c) for c in cols])
+    x = M.momentum_panel(prices(spark, d), cal(spark, d), BENCHMARK, sector())
+    return x.select("ticker", day("date").alias("date"), "sector", *[r6(c) for c in cols])
 
 
 def composite_score(spark, d):

@@ -82,7 +82,7 @@ def event_decay(spark, d):
 
 
 def _momentum_daily(spark, d, p):
-    return E.momentum_daily(M.composite(M.momentum_panel(p, cal(spark, d), BENCHMARK, sector())), p)
+    return E.momentum_daily(M.scored_panel(p, cal(spark, d), BENCHMARK, sector()), p)
 
 
 def momentum_daily(spark, d):
@@ -135,7 +135,7 @@ def size_deciles_neutral(spark, d):
 def size_book(spark, d):
     """Each rebalance sized with the volatility of the 60 rows before it."""
     p, days = _stored_prices(spark, d), cal(spark, d)
-    x = M.composite(M.momentum_panel(p, days, BENCHMARK, sector())).select("date", "ticker", "sector", F.col("composite").alias("score"))
+    x = M.scored_panel(p, days, BENCHMARK, sector()).select("date", "ticker", "sector", F.col("composite").alias("score"))
     r = M.daily_returns(M.on_calendar(p, days))
     vol = r.select("date", "ticker", rolling_std("r", "ticker", "cal_idx", 60, 30, 1).alias("vol"))
     return P.size_one_date(x.join(vol, ["date", "ticker"], "left")).select(day("date").alias("date"), "ticker", r6("weight"))
