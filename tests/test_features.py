@@ -153,7 +153,7 @@ from tidemark import runtime
 s = build_session("gone", master="local[1]", shuffle_partitions=1, spark__checkpoint__dir={str(tmp_path)!r})
 runtime.store(s.range(3), "x"); runtime.new_path(s, "y")
 import os
-print("made", len(os.listdir({str(tmp_path)!r})))
+print("made", sum(f.startswith("tidemark") for f in os.listdir({str(tmp_path)!r})))
 s.stop()
 """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -194,4 +194,5 @@ def last_values(raw: DataFrame, keys: list[str], order: str, values: list[str])
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """(``name``, ``text``) of whole text files; the name is that of the file without its folder and ending."""
     x = spark.read.text(folder, wholetext=True)
-    return x.select(F.regexp_extract("_metadata.file_name", r"^(.+?)(?:\.[^./]*)?$", 1).alias("name"), F.col("value").alias("text"))
+    plain = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # the name comes in URL form
+    return x.select(F.regexp_extract(plain, r"^(.+?)(?:\.[^./]*)?$", 1).alias("name"), F.col("value").alias("text"))
