@@ -31,7 +31,7 @@ def sector_table(spark: SparkSession, d: str) -> DataFrame:
     return t.select("ticker", F.concat(F.lit("S"), F.col("k").cast("string")).alias("sector"))
 
 
-def _features(spark, d):
+def event_table(spark: SparkSession, d: str) -> DataFrame:
     sur = events(spark, d).select("ticker", "earnings_date", "eps_surprise_pct")
     p = store(prices(spark, d), "prices").df
     return EV.event_features(feature_table(spark, d), sector_table(spark, d), p, cal(spark, d), sur)
@@ -41,7 +41,7 @@ FEATURES = ["pre_momentum_5d", "pre_momentum_20d", "eps_surprise_pct", "sue", "s
 
 
 def event_features(spark, d):
-    x = _features(spark, d)
+    x = event_table(spark, d)
     return x.select(*CALL, day("date").alias("date"), "sector", *[r6(F.col(c).cast("double"), c) for c in FEATURES])
 
 
@@ -74,7 +74,7 @@ def valid_calls(spark, d):
 
 def column_coverage(spark, d):
     """Share of present values of each numeric column, and whether it would be a candidate."""
-    x = store(_features(spark, d), "features").df
+    x = store(event_table(spark, d), "features").df
     groups = [("^qa_delta_", 0.3), ("_z$", 0.5), ("_qoq$|^past_", 0.5), ("^full_", 0.95), ("^(?!qa_|va_)", 0.95)]
     chosen = L.select_candidates(x, groups, ["year", "abnormal_30d", "abnormal_30d_va"])
     share = L.coverage(x, FEATURES)

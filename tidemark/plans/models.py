@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as V
 from ..operators import market as M
 from ..operators import ml as L
+from ..operators.events import raw_prediction
 from ..operators.relational import row_folds
 from ..runtime import store
-from .events import feature_table
+from .events import event_table, feature_table
 from .market import panel, r6
 from .strategy import predictions
 
@@ -122,13 +123,22 @@ def shapley_means(spark, d):
     return v.select(each.alias("x")).groupBy("x.feature").agg(F.avg("x.v").alias("mean_abs")).orderBy(F.desc("mean_abs")).limit(8)
 
 
+def adjusted_target_model(spark, d):
+    """The adjusted target predicted, brought back to raw returns, beside the direction of clear moves."""
+    x = row_folds(event_table(spark, d), "date", CALL, 3, 0.7)
+    x = L.dead_zone(x, "abnormal_30d_va", 0.5)
+    p = L.walk_forward(x, ["full_lm_net", "qa_lm_net", "full_vader_mean"], "abnormal_30d_va", L.ridge())
+    p = raw_prediction(p, "predicted", "predicted_raw")
+    return p.select(*OUT, "direction", r6("abnormal_30d_va"), r6("predicted"), r6("predicted_raw"))
+
+
 PANEL = [*M.BASE, "mom_12_1_va", "mom_6_1_va", "idio_mom_va", "rev_5d_va", "turn_trend", "log_adv"]
 
 
 def momentum_model(spark, d):
-    """The monthly panel's target by a model of all its features, over whole dates, with clipped training labels."""
+    """The monthly panel's target by boosted trees over all its features, over whole dates, with clipped training labels."""
     x = L.date_folds(store(panel(spark, d), "panel").df, "date", 3, 0.7)
-    return L.walk_forward(x, PANEL, "target", L.ridge(), winsor=0.01).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "ticker", "fold", "target", "predicted")
+    return L.walk_forward(x, PANEL, "target", L.boosted(), winsor=0.01).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "ticker", "fold", "target", "predicted")
 
 
 def momentum_against_composite(spark, d):
@@ -140,4 +150,4 @@ def momentum_against_composite(spark, d):
     return V.ic_summary(a.join(b, "date").withColumn("ic", F.col("a") - F.col("b"))).select("periods", "mean_ic", "t")
 
 
-QUERIES = {f.__name__: f for f in (ridge_walkforward, ridge_winsorised, tuned_ridge, logit_walkforward, gbt_walkforward, rank_target_model, sector_submodels, sector_quality, baseline_mean, baseline_fold_mean, selected_features, arms_compared, feature_importances, shapley_means, momentum_model, momentum_against_composite)}
+QUERIES = {f.__name__: f for f in (ridge_walkforward, ridge_winsorised, tuned_ridge, logit_walkforward, gbt_walkforward, rank_target_model, sector_submodels, sector_quality, baseline_mean, baseline_fold_mean, selected_features, arms_compared, feature_importances, shapley_means, adjusted_target_model, momentum_model, momentum_against_composite)}

@@ -1,6 +1,6 @@
 """What of the models SQL can say: baselines, folds, and ridge regression by Cramer's rule for its three features."""
 
-from .events_sql import FT
+from .events_sql import FEATURES, FT
 from .market_sql import pct, r6
 from .strategy_sql import PRED
 
@@ -55,4 +55,6 @@ bn AS (SELECT feature, len(list_filter(qx, lambda e: e < x)) AS b, len(list_filt
 ce AS (SELECT feature, b, t, count(*) AS c FROM bn GROUP BY ALL),
 it AS (SELECT feature, c / sum(c) OVER (PARTITION BY feature) * ln(c * sum(c) OVER (PARTITION BY feature) / (sum(c) OVER (PARTITION BY feature, b) * sum(c) OVER (PARTITION BY feature, t))) AS i FROM ce),
 mi AS (SELECT feature, sum(i) AS m FROM it GROUP BY 1) SELECT (row_number() OVER (ORDER BY m DESC, feature))::INT AS place, feature FROM mi ORDER BY m DESC, feature LIMIT 3""",
+    "adjusted_target_model": f"""WITH {FEATURES}, ea AS (SELECT ticker, quarter, year, date, full_lm_net AS score, qa_lm_net AS score2, full_vader_mean AS tone, abnormal_30d_va, va_scale, va_mean FROM ef), {folds("ea")}, {ridge("abnormal_30d_va")}
+SELECT ticker, quarter, year, fold, CASE WHEN abs(abnormal_30d_va) > 0.5 THEN (abnormal_30d_va > 0)::INT END AS direction, {r6("abnormal_30d_va")}, {r6("predicted")}, {r6("predicted * va_scale + va_mean", "predicted_raw")} FROM rp""",
 }

@@ -13,6 +13,8 @@ from ..operators import incremental as I
 from ..operators import relational as L
 from ..operators import scoring as SC
 from ..operators import turns as U
+from ..operators.events import Z_COLS
+from ..operators.panel import expanding_z
 from ..runtime import latest, latest_files, new_path, spread, store
 from ..sources import sinks as K
 from ..sources.sinks import sections_of
@@ -106,6 +108,14 @@ def section_features(spark, d):
     return x.select(*CALL, *[r6(F.col(c).cast("double"), c) for c in x.columns if c not in CALL])
 
 
+def section_z_scores(spark, d):
+    """Features of the whole call and of its questions against those of the ticker's earlier calls."""
+    x = section_features(spark, d).join(meta(spark, d).select(*CALL, "pub_date"), CALL)
+    cols = [f"{s}_{c}" for s in ("full", "qa") for c in Z_COLS if f"{s}_{c}" in x.columns]
+    z = expanding_z(x.select(*CALL, "pub_date", *cols), ["ticker"], ["pub_date", "quarter", "year"], cols)
+    return z.select(*CALL, *[r6(f"{c}_z") for c in cols])
+
+
 def hedge_rate(spark, d):
     x = calls(spark, d, ["qa_z"])
     return x.select(*CALL, F.coalesce(T.hedges(F.col("qa_z")), F.lit(0)).alias("n_hedges"))
@@ -340,4 +350,4 @@ def stream_water_mark(spark, d):
     return S.run_once(S.above_water_mark(s, have, "ticker", "pub_date")).distinct().select(*CALL, day("pub_date").alias("pub_date"))
 
 
-QUERIES = {f.__name__: f for f in (clean_transcript, boilerplate_lines, split_sections, section_texts, cleaned_sections, linguistic_features, lm_counts, readability, plain_features, sentiment_rows, section_features, hedge_rate, truncated_words, prompts, scored_calls, scoring_cost, chunk_probabilities, sentence_groups, packed_sentences, tone_features, tone_combined, speaker_turns, split_turns, parsed_props, validated_scores, upsert_latest, resume_antijoin, incremental_cutoff, snapshot_counts, pilot_sample, fiscal_quarter, filing_window, filing_exhibit, new_calls, stored_calls, resumed_scores, recorded_snapshots, missing_table, core_universe, unpivoted_prices, stream_snapshot_dedup, stream_event_counts, stream_upsert, stream_water_mark)}
+QUERIES = {f.__name__: f for f in (clean_transcript, boilerplate_lines, split_sections, section_texts, cleaned_sections, linguistic_features, lm_counts, readability, plain_features, sentiment_rows, section_features, section_z_scores, hedge_rate, truncated_words, prompts, scored_calls, scoring_cost, chunk_probabilities, sentence_groups, packed_sentences, tone_features, tone_combined, speaker_turns, split_turns, parsed_props, validated_scores, upsert_latest, resume_antijoin, incremental_cutoff, snapshot_counts, pilot_sample, fiscal_quarter, filing_window, filing_exhibit, new_calls, stored_calls, resumed_scores, recorded_snapshots, missing_table, core_universe, unpivoted_prices, stream_snapshot_dedup, stream_event_counts, stream_upsert, stream_water_mark)}

@@ -4,6 +4,7 @@ from ..functions import features as X
 from ..functions import patterns as P
 from ..functions import polarity as V
 from ..functions.text import SPACE, spaced
+from ..operators.events import Z_COLS
 from ..operators.incremental import SCORE_FIELDS
 from .market_sql import EV, PX, iso, r6
 from .strategy_sql import PRED
@@ -205,3 +206,6 @@ SELECT {KEY}, has_qa, n_turns, len(list_filter(regexp_split_to_array(whole, {q(S
 _plain = ORACLE["plain_features"].replace(f"WITH {SECT}, ", "", 1)
 ORACLE["sentiment_rows"] = f"WITH {TONE}, {_plain[:_plain.index(f'SELECT {KEY}, section, round(p +')].rstrip()}, pf AS ({_plain[_plain.index(f'SELECT {KEY}, section, round(p +'):]}) SELECT {KEY}, section, {', '.join(r6(k, f'vader_{k}') for k in V.KEYS)}, pf.* EXCLUDE ({KEY}, section) FROM tone JOIN pf USING ({KEY}, section)"
 ORACLE["section_features"] = f"WITH sr AS ({ORACLE['sentiment_rows']}) SELECT {KEY}, " + ", ".join(f"max({c}) FILTER (section = '{k}') AS {k}_{c}" for k in X.SECTIONS for c in X.ALL) + f" FROM sr GROUP BY {KEY}"
+_cols = [f"{s}_{c}" for s in ("full", "qa") for c in Z_COLS if c in X.ALL]
+_z = ", ".join(r6(f"CASE WHEN count({c}) OVER w >= 3 AND stddev_samp({c}) OVER w >= 1e-12 THEN ({c} - avg({c}) OVER w) / stddev_samp({c}) OVER w END", f"{c}_z") for c in _cols)
+ORACLE["section_z_scores"] = f"WITH sf AS ({ORACLE['section_features']}), {CALLS} SELECT {KEY}, {_z} FROM sf JOIN (SELECT {KEY}, pub_date FROM calls) USING ({KEY}) WINDOW w AS (PARTITION BY ticker ORDER BY pub_date NULLS FIRST, quarter, year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
