@@ -79,7 +79,7 @@ def sector_quality(spark, d):
 
 def baseline_mean(spark, d):
     x = L.expanding_mean(predictions(spark, d), "date", "actual")
-    return x.select("ticker", "quarter", "year", (F.round("baseline", 9) + F.lit(0.0)).alias("baseline"))
+    return x.select("ticker", "quarter", "year", (F.round(F.col("baseline") + F.lit(1e-12), 9) + F.lit(0.0)).alias("baseline"))
 
 
 def baseline_fold_mean(spark, d):

@@ -41,7 +41,7 @@ EIGHTHS = "[" + ", ".join(f"{k}/8::DOUBLE" for k in range(1, 8)) + "]"
 ORACLE = {
     "baseline_mean": f"""WITH {PRED}, d AS (SELECT date, sum(actual) AS s, count(actual) AS c FROM pred GROUP BY 1),
 b AS (SELECT date, sum(s) OVER w / nullif(sum(c) OVER w, 0) AS baseline FROM d WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT ticker, quarter, year, round(baseline, 9) + 0.0 AS baseline FROM pred JOIN b USING (date)""",
+SELECT ticker, quarter, year, round(baseline + 1e-12, 9) + 0.0 AS baseline FROM pred JOIN b USING (date)""",
     "baseline_fold_mean": f"WITH {PRED}, {folds('pred')} SELECT ticker, quarter, year, fold, {r6('(SELECT avg(actual) FROM fd g WHERE g.fold < fd.fold)', 'baseline')} FROM fd WHERE fold > 0",
     "ridge_walkforward": f"WITH {PRED}, {folds('pred')}, {ridge('actual')} SELECT ticker, quarter, year, fold, {r6('actual')}, {r6('predicted')} FROM rp",
     "ridge_winsorised": f"WITH {PRED}, {folds('pred')}, {ridge('actual', 0.01)} SELECT ticker, quarter, year, fold, {r6('actual')}, {r6('predicted')} FROM rp",
